@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def as_double(vec: Column) -> Column:
@@ -50,7 +51,7 @@ def pack_float32(vec: Column) -> Column:
     import numpy as np
     import pandas as pd
 
-    @F.pandas_udf("binary")
+    @F.pandas_udf(T.BinaryType())
     def pack(series: pd.Series) -> pd.Series:
         return series.map(
             lambda v: None if v is None or len(v) == 0 else np.asarray(v, dtype="<f4").tobytes()
@@ -63,7 +64,7 @@ def unpack_float32(blob: Column) -> Column:
     import numpy as np
     import pandas as pd
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
     def unpack(series: pd.Series) -> pd.Series:
         return series.map(lambda b: None if b is None else np.frombuffer(b, dtype="<f4"))
 
