@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from codeloom.functions.text import let
+
 # Words that never count as keywords.
 STOP_WORDS = (
     "the a an and or but in on at to for of with by from up about into through during "
@@ -20,14 +22,21 @@ KEYWORD_LIMIT = 20
 def keywords(text: Column, limit: int = KEYWORD_LIMIT) -> Column:
     """First ``limit`` distinct identifiers, case-insensitive, in order of appearance.
 
-    ``array_distinct`` keeps first occurrences and hashes, so the cost stays linear in
-    the text; only the few survivors are looked up again for their original spelling.
+    ``array_distinct`` keeps first occurrences and hashes, so the cost stays linear in the
+    text; stop words are dropped from the distinct words, and only the few survivors are
+    looked up again for their original spelling.
     """
-    stop = F.array(*[F.lit(w) for w in dict.fromkeys(STOP_WORDS)])
-    words = F.filter(
-        F.regexp_extract_all(text, F.lit(r"[a-zA-Z][a-zA-Z0-9_]*"), F.lit(0)),
-        lambda w: (F.length(w) > 2) & ~F.array_contains(stop, F.lower(w)),
-    )
-    lowered = F.transform(words, lambda w: F.lower(w))
-    chosen = F.slice(F.array_distinct(lowered), 1, limit)
-    return F.transform(chosen, lambda k: F.element_at(words, F.array_position(lowered, k).cast("int")))
+    words = F.regexp_extract_all(text, F.lit(r"[a-zA-Z][a-zA-Z0-9_]*"), F.lit(0))
+    both = F.struct(words.alias("words"), F.transform(words, F.lower).alias("lowered"))
+
+    def first_spellings(found: Column) -> Column:
+        counted = F.filter(
+            F.array_distinct(found["lowered"]),
+            lambda w: (F.length(w) > 2) & ~w.isin(list(dict.fromkeys(STOP_WORDS))),
+        )
+        return F.transform(
+            F.slice(counted, 1, limit),
+            lambda w: F.element_at(found["words"], F.array_position(found["lowered"], w).cast("int")),
+        )
+
+    return let(both, first_spellings)

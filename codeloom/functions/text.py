@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,15 @@ READ_WORDS = ("select", "find", ".get", "query", "receive", "consume")
 DIRECTION_WINDOW = 2000
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over ``value`` evaluated once.
+
+    An expression used inside a lambda is evaluated again for every element; bound this way it
+    becomes the lambda's own argument.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def split_lines(text: Column) -> Column:
     """Lines of a text; a final terminator opens no further line, '' has no lines."""
     body = F.regexp_replace(text, LINE_END + r"\z", "")
@@ -33,6 +44,11 @@ def join_lines(lines: Column) -> Column:
     return F.array_join(lines, "\n")
 
 
+def text_range(text: Column, first: Column, last: Column) -> Column:
+    """The text of lines ``first..last``."""
+    return let(split_lines(text), lambda lines: join_lines(line_range(lines, first, last)))
+
+
 def has_ink(text: Column) -> Column:
     """True where the text holds anything but white space."""
     return text.rlike(r"(?U)\S")
@@ -126,11 +142,16 @@ def queue_name(text: Column) -> Column:
 def elide_middle(text: Column, limit: int = 100) -> Column:
     """First and last ``limit/2`` lines of a text that has more than ``limit``."""
     half = limit // 2
-    lines = split_lines(text)
-    count = F.size(lines)
-    marker = F.concat(F.lit("... ("), (count - limit).cast("string"), F.lit(" lines truncated) ..."))
-    shortened = F.concat(F.slice(lines, 1, half), F.array(marker), F.slice(lines, -half, half))
-    return F.when(count > limit, join_lines(shortened)).otherwise(text)
+
+    def shorten(lines: Column) -> Column:
+        count = F.size(lines)
+        marker = F.concat(
+            F.lit("... ("), (count - limit).cast("string"), F.lit(" lines truncated) ...")
+        )
+        ends = F.concat(F.slice(lines, 1, half), F.array(marker), F.slice(lines, -half, half))
+        return F.when(count > limit, join_lines(ends)).otherwise(text)
+
+    return let(split_lines(text), shorten)
 
 
 def absolute_path(path: Column, root: Column) -> Column:

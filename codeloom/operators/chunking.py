@@ -21,26 +21,31 @@ _SPAN = T.StructType(
 )
 
 
-def window_spans(lines: Column, size: int, overlap: int) -> Column:
-    """Array of window spans over a line array; windows of white space only are dropped.
+def window_spans(text: Column, size: int, overlap: int) -> Column:
+    """Array of window spans over a text's lines; windows of white space only are dropped.
 
     Steps advance by ``size - overlap``; a short tail inside the previous window is kept.
     """
     step = max(1, size - overlap)
-    count = F.size(lines)
-    starts = F.when(count > 0, F.sequence(F.lit(0), count - 1, F.lit(step))).otherwise(
-        F.array().cast("array<int>")
-    )
-    spans = F.transform(
-        starts,
-        lambda at: F.struct(
-            at.alias("block"),
-            (at + 1).alias("first"),
-            F.least(at + size, count).alias("last"),
-            tx.join_lines(F.slice(lines, at + 1, F.lit(size))).alias("content"),
-        ),
+
+    def cut(lines: Column) -> Column:
+        count = F.size(lines)
+        starts = F.when(count > 0, F.sequence(F.lit(0), count - 1, F.lit(step))).otherwise(
+            F.array().cast("array<int>")
+        )
+        return F.transform(
+            starts,
+            lambda at: F.struct(
+                at.alias("block"),
+                (at + 1).alias("first"),
+                F.least(at + size, count).alias("last"),
+                tx.join_lines(F.slice(lines, at + 1, F.lit(size))).alias("content"),
+            ),
+        )
+
+    return F.filter(
+        tx.let(tx.split_lines(text), cut), lambda span: tx.has_ink(span["content"])
     )
-    return F.filter(spans, lambda span: tx.has_ink(span["content"]))
 
 
 def line_windows(
@@ -49,7 +54,7 @@ def line_windows(
     """One row per window: ``block, start_line, end_line, content`` beside the file's columns."""
     keep = [c for c in files.columns if c != text_col]
     spans = files.select(
-        *keep, F.explode(window_spans(tx.split_lines(F.col(text_col)), size, overlap)).alias("w")
+        *keep, F.explode(window_spans(F.col(text_col), size, overlap)).alias("w")
     )
     return spans.select(
         *keep,
@@ -106,22 +111,25 @@ def extract_chunks(files: DataFrame, size: int = 32, overlap: int = 8) -> DataFr
     Python files are cut at definitions, everything else, and Python files without any or
     with syntax errors, into line windows. Only Python text crosses into Python workers.
     """
-    spans = files.withColumn("lines", tx.split_lines(F.col("content"))).withColumn(
+    spans = files.withColumn(
         "defs", python_definitions(F.when(F.col("language") == "python", F.col("content")))
     )
-    cut = F.transform(
-        "defs",
-        lambda d: F.struct(
-            d["symbol"].alias("symbol"),
-            d["kind"].alias("kind"),
-            d["first"].alias("first"),
-            d["last"].alias("last"),
-            tx.join_lines(tx.line_range(F.col("lines"), d["first"], d["last"])).alias("content"),
-            F.lit(None).cast("int").alias("block"),
+    cut = tx.let(
+        tx.split_lines(F.col("content")),
+        lambda lines: F.transform(
+            "defs",
+            lambda d: F.struct(
+                d["symbol"].alias("symbol"),
+                d["kind"].alias("kind"),
+                d["first"].alias("first"),
+                d["last"].alias("last"),
+                tx.join_lines(tx.line_range(lines, d["first"], d["last"])).alias("content"),
+                F.lit(None).cast("int").alias("block"),
+            ),
         ),
     )
     windows = F.transform(
-        window_spans(F.col("lines"), size, overlap),
+        window_spans(F.col("content"), size, overlap),
         lambda w: F.struct(
             F.lit(None).cast("string").alias("symbol"),
             F.lit("block").alias("kind"),

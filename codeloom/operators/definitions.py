@@ -8,7 +8,6 @@ heads, a running brace (or ``end``) depth per file finds where each body closes.
 from __future__ import annotations
 
 import ast
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -215,19 +214,13 @@ def _per_language(table: dict, column: str = "parser") -> list[tuple[Column, obj
     return [(F.col(column).isin(list(langs)), value) for langs, value in table.items()]
 
 
-def _not_a_name(name: Column) -> Column:
-    bare = F.regexp_replace(name, "^~+", "")
-    tests = [
-        is_lang & F.when(F.col("parser") == "cpp", bare).otherwise(name).isin(words)
-        for is_lang, words in _per_language(NOT_A_NAME)
-    ]
-    return reduce(lambda a, b: a | b, tests)
-
-
-def _test_name(name: Column) -> Column:
-    lowered = F.lower(name)
-    prefix = F.when(F.col("parser").isin(list(BARE_TEST_PREFIX)), "test").otherwise("test_")
-    return F.startswith(lowered, prefix) | lowered.contains("mock")
+def _rejected(name: Column, langs: tuple[str, ...]) -> Column:
+    """Names that define nothing in these languages: keywords, tests and mocks."""
+    words = next((w for known, w in NOT_A_NAME.items() if langs[0] in known), [])
+    keyword = f"~*(?:{'|'.join(words)})" if langs == ("cpp",) else "|".join(words)
+    test = "test" if langs[0] in BARE_TEST_PREFIX else "test_"
+    named = f"^(?:{keyword})$|" if words else ""
+    return name.rlike(f"{named}^(?i:{test})|(?i:mock)")
 
 
 def _head(line: Column) -> Column:
@@ -237,20 +230,24 @@ def _head(line: Column) -> Column:
         (F.col("parser") == "cpp") & F.ltrim(line).startswith("template"),
         F.regexp_replace(line, r"^\s*template\s*<[^>]*>\s*", ""),
     ).otherwise(line)
+
+    def accepted_in(langs: tuple[str, ...]):
+        return lambda found: F.when(
+            (found["name"] != "") & ~_rejected(found["name"], langs), found
+        )
+
     for langs, pattern, group, prefix_group, kind in HEADS:
         pattern = "(?U)" + pattern
         raw = F.regexp_extract(searched, pattern, group)
-        name = F.when(raw == "", tx.stem(F.col("file_path"))).otherwise(raw) if kind == "default" else raw
+        if kind == "default":
+            unnamed = (raw == "") & searched.rlike(pattern)
+            raw = F.when(unnamed, tx.stem(F.col("file_path"))).otherwise(raw)
         prefix = F.regexp_extract(searched, pattern, prefix_group) if prefix_group else F.lit("")
-        fits = F.col("parser").isin(list(langs)) & searched.rlike(pattern) & (name != "")
+        applies = F.col("parser").isin(list(langs))
         if langs in (("java",), ("csharp",)):
-            fits = fits & ~line.contains("class ")
-        options.append(
-            F.when(
-                fits & ~_not_a_name(name) & ~_test_name(name),
-                F.struct(name.alias("name"), prefix.alias("prefix"), F.lit(kind).alias("kind")),
-            )
-        )
+            applies = applies & ~line.contains("class ")
+        found = F.struct(raw.alias("name"), prefix.alias("prefix"), F.lit(kind).alias("kind"))
+        options.append(F.when(applies, tx.let(found, accepted_in(langs))))
     return F.coalesce(*options)
 
 
@@ -278,23 +275,30 @@ def _depth_after(braces: Column, count: Column) -> Column:
     return 2 * F.length(F.replace(head, F.lit("}"), F.lit(""))) - F.length(head)
 
 
-def _line_depths(line: Column) -> tuple[Column, Column]:
-    """Depth change over a line and the depths, from its start, right after each closer."""
-    braces = _braces(line)
-    length = F.length(braces)
-    places = F.filter(
-        F.when(length > 0, F.sequence(F.lit(1), length)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.substring(braces, i, F.lit(1)) == "}",
-    )
-    closes = F.transform(places, lambda i: _depth_after(braces, i))
+def _line_depths(line: Column) -> Column:
+    """``struct<delta, closes>``: depth change over a line and the depths, counted from its
+    start, right after each closer."""
+    none = F.array().cast("array<int>")
+
+    def braced(braces: Column) -> Column:
+        length = F.length(braces)
+        places = F.filter(
+            F.when(length > 0, F.sequence(F.lit(1), length)).otherwise(none),
+            lambda i: F.substring(braces, i, F.lit(1)) == "}",
+        )
+        return F.struct(
+            _depth_after(braces, length).alias("delta"),
+            F.transform(places, lambda i: _depth_after(braces, i)).alias("closes"),
+        )
+
     opened = F.regexp_count(_before_comment(line, "#"), F.lit(RUBY_OPENER))
-    ruby = opened - line.rlike(RUBY_CLOSER).cast("int")
-    is_ruby = F.col("parser") == "ruby"
-    ruby_closes = F.when(ruby < 0, F.array(ruby)).otherwise(F.array().cast("array<int>"))
-    return (
-        F.when(is_ruby, ruby).otherwise(_depth_after(braces, length)),
-        F.when(is_ruby, ruby_closes).otherwise(closes),
+    ended = tx.let(
+        opened - line.rlike(RUBY_CLOSER).cast("int"),
+        lambda delta: F.struct(
+            delta.alias("delta"), F.when(delta < 0, F.array(delta)).otherwise(none).alias("closes")
+        ),
     )
+    return F.when(F.col("parser") == "ruby", ended).otherwise(tx.let(_braces(line), braced))
 
 
 def _scanned_lines(files: DataFrame) -> DataFrame:
@@ -303,51 +307,71 @@ def _scanned_lines(files: DataFrame) -> DataFrame:
     ``brace_lag`` is the offset of the line with the opening brace from its head (0 for
     Ruby), NULL where no body opens; ``lead_depth`` is the depth change between the two.
     The lines are matched inside their array, so each expression runs once per line and
-    only the few lines that matter become rows.
+    only the few lines that matter become rows, without the text.
     """
     is_ruby = F.col("parser") == "ruby"
-    lines = F.col("lines")
 
-    def scan(line: Column, position: Column) -> Column:
-        delta, closes = _line_depths(line)
-        return F.struct(
-            (position + 1).alias("line_no"),
-            _head(line).alias("head"),
-            _class_head(line).alias("class_head"),
-            delta.alias("delta"),
-            closes.alias("closes"),
-        )
-
-    def opens_after(line_no: Column) -> Column:
+    def opens_after(lines: Column, line_no: Column) -> Column:
         near = F.slice(lines, line_no, F.lit(HEAD_TO_BRACE))
         at = F.array_position(
             F.transform(near, lambda text: _before_comment(text).contains("{")), F.lit(True)
         ).cast("int")
         return F.when(is_ruby, F.lit(0)).otherwise(F.when(at > 0, at - 1))
 
-    matters = F.filter(
-        F.transform(lines, scan),
-        lambda s: s["head"].isNotNull()
-        | s["class_head"].isNotNull()
-        | (s["delta"] != 0)
-        | (F.size(s["closes"]) > 0),
-    )
-    rows = (
-        files.withColumn("lines", tx.split_lines(F.col("content")))
-        .select("repo_id", "file_path", "parser", "lines", F.explode_outer(matters).alias("s"))
-        .where(F.col("s").isNotNull())
-        .select("repo_id", "file_path", "parser", "lines", "s.*")
-    )
-    lag = F.when(F.col("head").isNotNull(), opens_after(F.col("line_no")))
-    between = F.aggregate(
-        F.slice(lines, F.col("line_no"), F.greatest(lag, F.lit(0))),
-        F.lit(0),
-        lambda total, text: total + _depth_after(_braces(text), F.length(_braces(text))),
+    def depth_between(lines: Column, line_no: Column, lag: Column) -> Column:
+        return F.aggregate(
+            F.slice(lines, line_no, lag),
+            F.lit(0),
+            lambda total, text: total
+            + tx.let(_braces(text), lambda braces: _depth_after(braces, F.length(braces))),
+        )
+
+    def opening(lines: Column, line_no: Column) -> Column:
+        return tx.let(
+            opens_after(lines, line_no),
+            lambda lag: F.struct(
+                lag.alias("lag"), F.when(lag > 0, depth_between(lines, line_no, lag)).alias("depth")
+            ),
+        )
+
+    def scan(lines: Column, line: Column, position: Column) -> Column:
+        facts = F.struct(
+            (position + 1).alias("line_no"),
+            _head(line).alias("head"),
+            _class_head(line).alias("class_head"),
+            _line_depths(line).alias("depths"),
+        )
+        return tx.let(
+            facts,
+            lambda f: F.struct(
+                f["line_no"].alias("line_no"),
+                f["head"].alias("head"),
+                f["class_head"].alias("class_head"),
+                f["depths"]["delta"].alias("delta"),
+                f["depths"]["closes"].alias("closes"),
+                F.when(f["head"].isNotNull(), opening(lines, f["line_no"])).alias("opening"),
+            ),
+        )
+
+    def matters(s: Column) -> Column:
+        return (
+            s["head"].isNotNull()
+            | s["class_head"].isNotNull()
+            | (s["delta"] != 0)
+            | (F.size(s["closes"]) > 0)
+        )
+
+    scanned = tx.let(
+        tx.split_lines(F.col("content")),
+        lambda lines: F.filter(
+            F.transform(lines, lambda line, at: scan(lines, line, at)), matters
+        ),
     )
-    return rows.select(
-        "repo_id", "file_path", "parser", "line_no", "head", "class_head", "delta", "closes",
-        lag.alias("brace_lag"),
-        F.when(lag.isNotNull(), between).alias("lead_depth"),
+    rows = files.select("repo_id", "file_path", "parser", F.explode_outer(scanned).alias("s"))
+    return rows.where(F.col("s").isNotNull()).select(
+        "repo_id", "file_path", "parser", "s.line_no", "s.head", "s.class_head", "s.delta",
+        "s.closes", F.col("s.opening.lag").alias("brace_lag"),
+        F.col("s.opening.depth").alias("lead_depth"),
     )
 
 

@@ -102,9 +102,7 @@ def expand_hits(
         "file_path",
         F.col("line_start").alias("start_line"),
         F.col("line_end").alias("end_line"),
-        tx.join_lines(
-            tx.line_range(tx.split_lines(F.col("_file")), F.col("line_start"), F.col("line_end"))
-        ).alias("content"),
+        tx.text_range(F.col("_file"), F.col("line_start"), F.col("line_end")).alias("content"),
         "repo_id",
         F.col("name").alias("symbol"),
         F.lit("method").alias("chunk_type"),
