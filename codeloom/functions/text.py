@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The line terminators of Python's str.splitlines.
@@ -25,6 +25,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def exploded(rows: DataFrame, keep: Sequence[str], array: Column, name: str) -> DataFrame:
+    """One row per array element, none for an empty array.
+
+    The outer form with a test of the element avoids the filter on the array that Spark adds
+    to a plain explode, which would evaluate an expensive array expression a second time.
+    """
+    return rows.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
 def split_lines(text: Column) -> Column:
     """Lines of a text; a final terminator opens no further line, '' has no lines."""
     body = F.regexp_replace(text, LINE_END + r"\z", "")

@@ -53,9 +53,7 @@ def line_windows(
 ) -> DataFrame:
     """One row per window: ``block, start_line, end_line, content`` beside the file's columns."""
     keep = [c for c in files.columns if c != text_col]
-    spans = files.select(
-        *keep, F.explode(window_spans(F.col(text_col), size, overlap)).alias("w")
-    )
+    spans = tx.exploded(files, keep, window_spans(F.col(text_col), size, overlap), "w")
     return spans.select(
         *keep,
         F.col("w.block").alias("block"),
@@ -139,12 +137,8 @@ def extract_chunks(files: DataFrame, size: int = 32, overlap: int = 8) -> DataFr
             w["block"].alias("block"),
         ),
     )
-    pieces = spans.select(
-        "repo_id",
-        "file_path",
-        "language",
-        F.explode(F.when(F.size("defs") > 0, cut).otherwise(windows)).alias("p"),
-    )
+    either = F.when(F.size("defs") > 0, cut).otherwise(windows)
+    pieces = tx.exploded(spans, ["repo_id", "file_path", "language"], either, "p")
     tail = F.coalesce(F.col("p.symbol"), F.concat(F.lit("block_"), F.col("p.block").cast("string")))
     return pieces.select(
         F.concat_ws("::", "repo_id", "file_path", tail).alias("chunk_id"),

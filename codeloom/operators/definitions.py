@@ -367,8 +367,7 @@ def _scanned_lines(files: DataFrame) -> DataFrame:
             F.transform(lines, lambda line, at: scan(lines, line, at)), matters
         ),
     )
-    rows = files.select("repo_id", "file_path", "parser", F.explode_outer(scanned).alias("s"))
-    return rows.where(F.col("s").isNotNull()).select(
+    return tx.exploded(files, ["repo_id", "file_path", "parser"], scanned, "s").select(
         "repo_id", "file_path", "parser", "s.line_no", "s.head", "s.class_head", "s.delta",
         "s.closes", F.col("s.opening.lag").alias("brace_lag"),
         F.col("s.opening.depth").alias("lead_depth"),
@@ -471,12 +470,11 @@ def cpp_calls(files: DataFrame, methods: DataFrame) -> DataFrame:
     lines = source.select(
         F.col("repo_id").alias("service_id"),
         "file_path",
-        F.posexplode(tx.split_lines(F.col("content"))).alias("_p", "text"),
-    )
+        F.posexplode_outer(tx.split_lines(F.col("content"))).alias("_p", "text"),
+    ).withColumn("line", F.col("_p") + 1)
     found = F.regexp_extract_all(_before_comment(F.col("text")), F.lit(r"(?U)\b(\w+)\s*\("), F.lit(1))
-    sites = lines.select(
-        "service_id", "file_path", (F.col("_p") + 1).alias("line"),
-        F.explode(F.array_distinct(found)).alias("callee_name"),
+    sites = tx.exploded(
+        lines, ["service_id", "file_path", "line"], F.array_distinct(found), "callee_name"
     ).where(~F.col("callee_name").isin(NOT_A_NAME[("cpp",)]))
     spans = methods.select("service_id", "file_path", "method_id", "line_start", "line_end")
     inside = overlap_join(
@@ -492,7 +490,7 @@ def python_methods_and_calls(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     facts = files.where(F.col("parser") == "python").select(
         "repo_id", "file_path", python_facts("content").alias("facts")
     )
-    methods = facts.select("repo_id", "file_path", F.explode("facts.methods").alias("m")).select(
+    methods = tx.exploded(facts, ["repo_id", "file_path"], F.col("facts.methods"), "m").select(
         _method_id(F.col("m.full_name")).alias("method_id"),
         _legacy_id(F.col("m.full_name")).alias("legacy_id"),
         F.col("repo_id").alias("service_id"),
@@ -505,7 +503,7 @@ def python_methods_and_calls(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.col("m.line_start").alias("line_start"),
         F.col("m.line_end").alias("line_end"),
     )
-    calls = facts.select("repo_id", "file_path", F.explode("facts.calls").alias("c")).select(
+    calls = tx.exploded(facts, ["repo_id", "file_path"], F.col("facts.calls"), "c").select(
         F.col("repo_id").alias("service_id"),
         _method_id(F.col("c.caller")).alias("caller_id"),
         F.col("c.callee_name").alias("callee_name"),

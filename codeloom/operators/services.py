@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,9 @@ from pyspark.sql import functions as F
 from codeloom.functions import text as tx
 from codeloom.operators.containment import contains_join
 
+Settle = Callable[[DataFrame, str], DataFrame]
+FILE_KEY = ("repo_id", "file_path")
+
 # Connection calls by service language, with the kind of store they open.
 DATABASE_CALLS = {
     "python": (
@@ -154,11 +158,11 @@ def _by_language(table: dict, value) -> Column:
     return out
 
 
-def pattern_hits(files: DataFrame, patterns: dict) -> DataFrame:
-    """``pattern, kind, position`` of each pattern of the service's language a file contains.
+def _pattern_hits(patterns: dict, code: Column, describe) -> Column:
+    """``describe(kind, position)`` of each pattern of the service's language in the code.
 
-    ``files`` has ``service_language`` and ``code`` (blanked text). The pattern tables are
-    constants of the plan, so nothing is joined and every file is searched where it lies.
+    The pattern tables are constants of the plan, so nothing is joined and every file is
+    searched where it lies.
     """
     def as_array(entries) -> Column:
         return F.array(
@@ -169,20 +173,79 @@ def pattern_hits(files: DataFrame, patterns: dict) -> DataFrame:
         F.transform(
             _by_language(patterns, as_array),
             lambda p: F.struct(
-                p["pattern"].alias("pattern"),
-                p["kind"].alias("kind"),
-                F.instr(F.col("code"), p["pattern"]).alias("position"),
+                p["kind"].alias("kind"), F.instr(code, p["pattern"]).alias("position")
             ),
         ),
-        lambda p: p["position"] > 0,
-    )
-    return files.select("*", F.explode(found).alias("hit")).select(
-        *files.columns, "hit.pattern", "hit.kind", "hit.position"
+        lambda hit: hit["position"] > 0,
     )
+    return F.transform(found, lambda hit: describe(hit["kind"], hit["position"]))
+
+
+def _found(pattern: str, where: Column | None = None) -> Column:
+    """Distinct first groups of a pattern in a file, none where the file does not qualify."""
+    texts = F.array_distinct(F.regexp_extract_all("content", F.lit(pattern), F.lit(1)))
+    none = F.array().cast("array<string>")
+    return texts if where is None else F.when(where, texts).otherwise(none)
+
+
+def file_facts(files: DataFrame) -> DataFrame:
+    """What one reading of each file tells the service graph, without its text.
+
+    Input ``repo_id, file_path, content, service_language``. Output ``repo_id, file_path`` and
+    arrays: ``stores`` and ``queues`` (kind, name, direction), ``hosts``, ``variables``,
+    ``rpc_names``, ``quoted`` (names a manifest quotes or pins), ``imported`` and ``mentioned``
+    (rests of import lines). Comments and literals are blanked once per file.
+    """
+    content = F.col("content")
+
+    def fallback(found: Column, kind: Column, tail: str) -> Column:
+        return F.coalesce(found, F.concat(F.lit("shared_"), kind, F.lit(tail)))
+
+    def stores(code: Column) -> Column:
+        return _pattern_hits(
+            DATABASE_CALLS,
+            code,
+            lambda kind, position: F.struct(
+                kind.alias("kind"),
+                fallback(tx.database_name(content, kind), kind, "_db").alias("name"),
+                tx.io_direction(code, position).alias("direction"),
+            ),
+        )
 
+    def queues(code: Column) -> Column:
+        return _pattern_hits(
+            QUEUE_CALLS,
+            code,
+            lambda kind, position: F.struct(
+                kind.alias("kind"),
+                fallback(tx.queue_name(content), kind, "_queue").alias("name"),
+                tx.io_direction(code, position).alias("direction"),
+            ),
+        )
 
-def with_code(files: DataFrame) -> DataFrame:
-    return files.withColumn("code", tx.blank_code(F.col("content")))
+    client = _by_language(HTTP_CALLS, lambda needles: _contains_any(F.col("code"), needles))
+    reads_env = _contains_any(content, ENV_READS)
+    name = tx.base_name(F.col("file_path"))
+    is_manifest = name.isin(list(MANIFESTS))
+    is_code = tx.suffix(F.col("file_path")).isin(list(IMPORTING_SUFFIXES))
+    pinned = _found(r" ([^\s\"'=]+)==", is_manifest)
+    quoted = [_found(rf"(?={q}([^{q}\n]+){q})", is_manifest) for q in ('"', "'")]
+    scanned = files.withColumn("code", tx.blank_code(content))
+    calls_out = reads_env | F.coalesce(client, F.lit(False))
+    return scanned.select(
+        "repo_id",
+        "file_path",
+        tx.let(F.col("code"), stores).alias("stores"),
+        tx.let(F.col("code"), queues).alias("queues"),
+        _found(URL_HOST, calls_out).alias("hosts"),
+        F.filter(
+            _found(ENV_VARIABLE, reads_env), lambda v: _contains_any(v, ADDRESS_WORDS)
+        ).alias("variables"),
+        _found(RPC_NAME, calls_out).alias("rpc_names"),
+        F.array_distinct(F.concat(*quoted, pinned)).alias("quoted"),
+        _found(r"(?:from|import)\s+(?=([^\n]+))", is_code).alias("imported"),
+        _found(r"(?:import|require)(?=([^\n]+))", is_code).alias("mentioned"),
+    )
 
 
 def _file_note(**entries: Column) -> Column:
@@ -190,59 +253,38 @@ def _file_note(**entries: Column) -> Column:
     return F.create_map(*pairs)
 
 
-def datastore_edges(files: DataFrame) -> DataFrame:
-    """``source_id, target_id, kind, metadata, node_kind, node_name`` for stores a file opens."""
-    hits = pattern_hits(files, DATABASE_CALLS)
-    name = F.coalesce(
-        tx.database_name(F.col("content"), F.col("kind")),
-        F.concat(F.lit("shared_"), F.col("kind"), F.lit("_db")),
-    )
-    direction = tx.io_direction(F.col("code"), F.col("position"))
+def _resource_edges(facts: DataFrame, column: str, prefix: str, kind: Column) -> DataFrame:
+    hits = tx.exploded(facts, FILE_KEY, F.col(column), "hit")
     return hits.select(
         F.col("repo_id").alias("source_id"),
-        F.concat_ws(":", F.lit("datastore"), "kind", name).alias("target_id"),
-        F.concat(F.lit("db_"), direction).alias("kind"),
+        F.concat_ws(":", F.lit(prefix), "hit.kind", "hit.name").alias("target_id"),
+        kind.alias("kind"),
         _file_note(file=tx.base_name(F.col("file_path"))).alias("metadata"),
-        F.col("kind").alias("node_kind"),
-        name.alias("node_name"),
+        F.col("hit.kind").alias("node_kind"),
+        F.col("hit.name").alias("node_name"),
     )
 
 
-def queue_edges(files: DataFrame) -> DataFrame:
-    hits = pattern_hits(files, QUEUE_CALLS)
-    name = F.coalesce(
-        tx.queue_name(F.col("content")), F.concat(F.lit("shared_"), F.col("kind"), F.lit("_queue"))
-    )
-    writes = tx.io_direction(F.col("code"), F.col("position")) == "write"
-    return hits.select(
-        F.col("repo_id").alias("source_id"),
-        F.concat_ws(":", F.lit("queue"), "kind", name).alias("target_id"),
-        F.when(writes, "queue_publish").otherwise("queue_consume").alias("kind"),
-        _file_note(file=tx.base_name(F.col("file_path"))).alias("metadata"),
-        F.col("kind").alias("node_kind"),
-        name.alias("node_name"),
-    )
+def datastore_edges(facts: DataFrame) -> DataFrame:
+    """``source_id, target_id, kind, metadata, node_kind, node_name`` for stores a file opens."""
+    kind = F.concat(F.lit("db_"), F.col("hit.direction"))
+    return _resource_edges(facts, "stores", "datastore", kind)
 
 
-def calling_files(files: DataFrame) -> DataFrame:
-    """Files with an HTTP client of their language or an environment read."""
-    client = _by_language(HTTP_CALLS, lambda needles: _contains_any(F.col("code"), needles))
-    return files.where(
-        F.coalesce(client, F.lit(False)) | _contains_any(F.col("content"), ENV_READS)
-    )
+def queue_edges(facts: DataFrame) -> DataFrame:
+    kind = F.when(F.col("hit.direction") == "write", "queue_publish").otherwise("queue_consume")
+    return _resource_edges(facts, "queues", "queue", kind)
 
 
 def slug(name: Column) -> Column:
     return F.lower(F.translate(name, "-_", ""))
 
 
-def url_edges(files: DataFrame, services: DataFrame) -> DataFrame:
+def url_edges(facts: DataFrame, services: DataFrame) -> DataFrame:
     """Hard-coded URLs whose host contains another service's name (``-`` and ``_`` aside)."""
-    hosts = files.select(
-        "repo_id",
-        "file_path",
-        F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(URL_HOST), F.lit(1)))).alias("host"),
-    ).withColumn("host_slug", slug(F.col("host")))
+    hosts = tx.exploded(facts, FILE_KEY, F.col("hosts"), "host").withColumn(
+        "host_slug", slug(F.col("host"))
+    )
     named = services.select("service_id", slug(F.col("service_id")).alias("slug"))
     pairs = contains_join(hosts, named, "host_slug", "slug").join(named, "slug")
     return hosts.join(pairs, "host_slug").where(F.col("service_id") != F.col("repo_id")).select(
@@ -296,14 +338,8 @@ def env_targets(variables: DataFrame, services: DataFrame) -> DataFrame:
     )
 
 
-def env_edges(files: DataFrame, services: DataFrame) -> DataFrame:
-    reads = files.where(_contains_any(F.col("content"), ENV_READS)).select(
-        "repo_id",
-        "file_path",
-        F.explode(
-            F.array_distinct(F.regexp_extract_all("content", F.lit(ENV_VARIABLE), F.lit(1)))
-        ).alias("variable"),
-    ).where(_contains_any(F.col("variable"), ADDRESS_WORDS))
+def env_edges(facts: DataFrame, services: DataFrame) -> DataFrame:
+    reads = tx.exploded(facts, FILE_KEY, F.col("variables"), "variable")
     resolved = reads.join(env_targets(reads, services), ["repo_id", "variable"])
     name = tx.base_name(F.col("file_path"))
     return resolved.select(
@@ -331,17 +367,13 @@ def path_names(paths: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def rpc_edges(files: DataFrame, paths: DataFrame) -> DataFrame:
+def rpc_edges(facts: DataFrame, paths: DataFrame) -> DataFrame:
     """RPC calls to the first other service that has a folder or file of that name.
 
     Per name only the two smallest services are kept before the calls meet them: at most one
     of the two can be the caller itself.
     """
-    sites = files.select(
-        "repo_id",
-        "file_path",
-        F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(RPC_NAME), F.lit(1)))).alias("name"),
-    )
+    sites = tx.exploded(facts, FILE_KEY, F.col("rpc_names"), "name")
     names = path_names(paths)
     first = names.groupBy("name").agg(F.min("service_id").alias("first"))
     second = (
@@ -372,36 +404,21 @@ def service_names(services: DataFrame) -> DataFrame:
     return services.select("service_id", F.explode(spelled).alias("name"))
 
 
-def manifest_edges(files: DataFrame, services: DataFrame) -> DataFrame:
+def manifest_edges(facts: DataFrame, services: DataFrame) -> DataFrame:
     """Manifests that quote another service's name or pin it with ``==`` after a space.
 
-    Names are read out of the manifest (every text between two quotes, every pinned word) and
-    joined by equality.
+    The names a manifest holds are known from its reading and joined by equality.
     """
-    manifest = files.where(tx.base_name(F.col("file_path")).isin(list(MANIFESTS)))
-    quoted = [
-        F.regexp_extract_all("content", F.lit(rf"(?={q}([^{q}\n]+){q})"), F.lit(1)) for q in ("\"", "'")
-    ]
-    pinned = F.regexp_extract_all("content", F.lit(r" ([^\s\"'=]+)=="), F.lit(1))
-    tokens = manifest.select(
-        "repo_id", "file_path",
-        F.explode(F.array_distinct(F.concat(*quoted, pinned))).alias("name"),
-    )
+    tokens = tx.exploded(facts, FILE_KEY, F.col("quoted"), "name")
     return _library_edges(tokens.join(service_names(services), "name"), "manifest dependency")
 
 
-def import_edges(files: DataFrame, services: DataFrame) -> DataFrame:
+def import_edges(facts: DataFrame, services: DataFrame) -> DataFrame:
     """Sources that import another service: ``from|import name`` or a later mention on an
     ``import`` or ``require`` line."""
-    code = files.where(tx.suffix(F.col("file_path")).isin(list(IMPORTING_SUFFIXES)))
     names = service_names(services).withColumn("module", F.replace("name", F.lit("-"), F.lit("_")))
-
-    def tails(pattern: str) -> DataFrame:
-        found = F.array_distinct(F.regexp_extract_all("content", F.lit(pattern), F.lit(1)))
-        return code.select("repo_id", "file_path", F.explode(found).alias("tail"))
-
-    starts = tails(r"(?:from|import)\s+(?=([^\n]+))")
-    mentions = tails(r"(?:import|require)(?=([^\n]+))")
+    starts = tx.exploded(facts, FILE_KEY, F.col("imported"), "tail")
+    mentions = tx.exploded(facts, FILE_KEY, F.col("mentioned"), "tail")
     direct = starts.join(
         contains_join(starts, names, "tail", "module", prefix_only=True), "tail"
     ).join(names, "module")
@@ -437,30 +454,30 @@ def service_types(files: DataFrame) -> DataFrame:
 
 
 def detect_dependencies(
-    files: DataFrame, services: DataFrame
+    files: DataFrame, services: DataFrame, settle: Settle = lambda rows, name: rows
 ) -> tuple[DataFrame, DataFrame]:
-    """Resource nodes and service edges of all files.
+    """Resource nodes (``repo_id`` is their user) and service edges of all files.
 
     ``files`` has ``repo_id, file_path, content``, ``services`` at least ``service_id,
-    language``. Of edges with the same triple one is kept, the last by its note.
+    language``. Every file is read once, into its facts; ``settle`` may write those so that the
+    seven detectors share them. Of edges with the same triple one is kept, the last by its note.
     """
     from codeloom.operators.keyed import keep_last
 
     languages = services.select(
         F.col("service_id").alias("repo_id"), F.col("language").alias("service_language")
     )
-    mine = with_code(files.join(languages, "repo_id"))
-    stores, queues = datastore_edges(mine), queue_edges(mine)
-    calls = calling_files(mine)
+    facts = settle(file_facts(files.join(languages, "repo_id")), "facts")
+    stores, queues = datastore_edges(facts), queue_edges(facts)
     columns = ["source_id", "target_id", "kind", "metadata"]
     edges = stores.select(*columns)
     for more in (
         queues,
-        url_edges(calls, services),
-        env_edges(calls, services),
-        rpc_edges(calls, files),
-        manifest_edges(mine, services),
-        import_edges(mine, services),
+        url_edges(facts, services),
+        env_edges(facts, services),
+        rpc_edges(facts, facts),
+        manifest_edges(facts, services),
+        import_edges(facts, services),
     ):
         edges = edges.unionByName(more.select(*columns))
     unique = keep_last(
@@ -475,8 +492,8 @@ def detect_dependencies(
         stores.withColumn("node_type", F.lit("datastore"))
         .unionByName(queues.withColumn("node_type", F.lit("queue")))
         .select(
-            F.col("target_id").alias("node_id"), "node_type", F.col("node_kind").alias("kind"),
-            F.col("node_name").alias("name"),
+            F.col("source_id").alias("repo_id"), F.col("target_id").alias("node_id"), "node_type",
+            F.col("node_kind").alias("kind"), F.col("node_name").alias("name"),
         )
         .distinct()
     )

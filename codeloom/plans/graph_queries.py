@@ -429,7 +429,7 @@ _ORDER_FILES = r"""
       CASE WHEN writes > reads THEN 'db_write' ELSE 'db_read' END AS kind, file FROM h"""
 )
 def datastore_edges(spark: SparkSession, sf: str) -> DataFrame:
-    found = services.datastore_edges(services.with_code(order_sources(spark, sf)))
+    found = services.datastore_edges(services.file_facts(order_sources(spark, sf)))
     return found.select("source_id", "target_id", "kind", F.col("metadata")["file"].alias("file"))
 
 
@@ -440,7 +440,7 @@ def datastore_edges(spark: SparkSession, sf: str) -> DataFrame:
     FROM n WHERE contains(code, 'kafkaproducer(')"""
 )
 def queue_edges(spark: SparkSession, sf: str) -> DataFrame:
-    found = services.queue_edges(services.with_code(order_sources(spark, sf)))
+    found = services.queue_edges(services.file_facts(order_sources(spark, sf)))
     return found.select("source_id", "target_id", "kind", F.col("metadata")["file"].alias("file"))
 
 
@@ -462,12 +462,13 @@ def url_edges(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("page"), F.col("page_id").cast("string")).alias("repo_id"),
         F.lit("client.py").alias("file_path"),
         F.concat(F.lit('requests.get("'), "url", F.lit('")')).alias("content"),
+        F.lit("python").alias("service_language"),
     )
     host = F.regexp_extract("url", r"https?://([^/?#:]+)", 1)
     named = pages.where(~host.startswith("www.")).select(
         F.substring_index(host, ".", 1).alias("service_id")
     ).distinct()
-    found = services.url_edges(files, named)
+    found = services.url_edges(services.file_facts(files), named)
     return found.select("source_id", "target_id", F.col("metadata")["url"].alias("url"))
 
 
@@ -525,14 +526,16 @@ def rpc_edges(spark: SparkSession, sf: str) -> DataFrame:
         brand.alias("repo_id"),
         F.concat(F.lit("src/o"), F.col("l_orderkey").cast("string"), F.lit(".ts")).alias("file_path"),
         F.concat(
-            F.lit("await sb.functions.invoke('job"), F.col("l_partkey").cast("string"), F.lit("', {})")
+            F.lit("await sb.functions.invoke('job"), F.col("l_partkey").cast("string"),
+            F.lit("', {}); fetch(process.env.X)"),
         ).alias("content"),
+        F.lit("typescript").alias("service_language"),
     ).distinct()
     hosted = table(spark, sf, "part").select(
         F.col("p_brand").alias("repo_id"),
         F.concat("p_type", F.lit("/job"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("file_path"),
     )
-    found = services.rpc_edges(files, hosted)
+    found = services.rpc_edges(services.file_facts(files), hosted)
     note = F.col("metadata")
     return found.select(
         "source_id", "target_id", note["rpc_method"].alias("rpc_method"), note["file"].alias("file")
@@ -570,9 +573,12 @@ def library_edges(spark: SparkSession, sf: str) -> DataFrame:
         F.col("p_size") < 30, F.concat(F.lit("from "), "kind", F.lit("_kit.core import x"))
     ).otherwise(F.concat(F.lit('x = require("@org/'), "dashed", F.lit('-kit")')))
     named = parts.select(F.concat("kind", F.lit("_kit")).alias("service_id")).distinct()
-    manifests = parts.select("repo_id", F.lit("requirements.txt").alias("file_path"), manifest.alias("content"))
-    sources = parts.select("repo_id", F.lit("src/main.py").alias("file_path"), code.alias("content"))
-    found = services.manifest_edges(manifests, named).unionByName(services.import_edges(sources, named))
+    python = F.lit("python").alias("service_language")
+    manifests = parts.select("repo_id", F.lit("requirements.txt").alias("file_path"), manifest.alias("content"), python)
+    sources = parts.select("repo_id", F.lit("src/main.py").alias("file_path"), code.alias("content"), python)
+    found = services.manifest_edges(services.file_facts(manifests), named).unionByName(
+        services.import_edges(services.file_facts(sources), named)
+    )
     return found.select("source_id", "target_id", F.col("metadata")["note"].alias("note"))
 
 
