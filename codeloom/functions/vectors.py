@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,9 +50,6 @@ def smoothed_cosine(a: Column, b: Column, epsilon: float = 1e-10) -> Column:
 
 def pack_float32(vec: Column) -> Column:
     """Little-endian float32 blob of a vector (NULL for NULL or an empty vector)."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf(T.BinaryType())
     def pack(series: pd.Series) -> pd.Series:
         return series.map(
@@ -61,9 +60,6 @@ def pack_float32(vec: Column) -> Column:
 
 
 def unpack_float32(blob: Column) -> Column:
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def unpack(series: pd.Series) -> pd.Series:
         return series.map(lambda b: None if b is None else np.frombuffer(b, dtype="<f4"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.functions.text import exploded
+
 MAX_MERGED_LINES = 60
 
 
@@ -56,10 +58,8 @@ def merge_neighbours(
             F.when(fits, F.concat(closed, F.array(joined))).otherwise(F.concat(done, F.array(nxt)))
         )
 
-    blocks = grouped.select(
-        *file_cols,
-        F.explode(F.aggregate("parts", F.array().cast(block_type), absorb)).alias("b"),
-    )
+    folded = F.aggregate("parts", F.array().cast(block_type), absorb)
+    blocks = exploded(grouped, file_cols, folded, "b")
     return blocks.select(
         *file_cols,
         F.col("b.s").alias("start_line"),
