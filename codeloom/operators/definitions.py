@@ -8,6 +8,7 @@ heads, a running brace (or ``end``) depth per file finds where each body closes.
 from __future__ import annotations
 
 import ast
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -201,13 +202,26 @@ def _python_facts(source: str | None) -> dict:
     return {"methods": methods, "calls": calls}
 
 
-@F.pandas_udf(_PYTHON_FACTS)
-def python_facts(source: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_python_facts(text) for text in source], columns=["methods", "calls"])
+Grammar = Callable[[str, str], dict]
 
 
-# Marked so that the optimizer never copies a call into a second place of a plan.
-python_facts = python_facts.asNondeterministic()
+def parsed_facts(grammar: Grammar | None = None) -> Callable[[Column, Column], Column]:
+    """Vectorised ``(parser, source) -> struct<methods, calls>``.
+
+    Python texts are parsed here; with a ``grammar`` (a parser library of the caller's, called
+    as ``grammar(parser, source)`` and returning the same lists) so are all texts handed in.
+    """
+
+    @F.pandas_udf(_PYTHON_FACTS)
+    def facts(parser: pd.Series, source: pd.Series) -> pd.DataFrame:
+        found = [
+            grammar(kind, text) if grammar else _python_facts(text)
+            for kind, text in zip(parser, source)
+        ]
+        return pd.DataFrame(found, columns=["methods", "calls"])
+
+    # Marked so that the optimizer never copies a call into a second place of a plan.
+    return facts.asNondeterministic()
 
 
 def _per_language(table: dict, column: str = "parser") -> list[tuple[Column, object]]:
@@ -443,7 +457,7 @@ def _legacy_id(full_name: Column) -> Column:
 
 
 def scripted_methods(files: DataFrame) -> DataFrame:
-    """Methods of non-Python files; input ``repo_id, file_path, parser, content``."""
+    """Methods of files matched by line, not parsed; input ``repo_id, file_path, parser, content``."""
     heads = _bodies(_scanned_lines(files.where(F.col("parser") != "python")))
     member = F.col("head.kind") == "member"
     own_prefix = F.when(F.col("head.prefix") != "", F.col("head.prefix"))
@@ -486,9 +500,13 @@ def cpp_calls(files: DataFrame, methods: DataFrame) -> DataFrame:
     return inside.select("service_id", F.col("method_id").alias("caller_id"), "callee_name", "line")
 
 
-def python_methods_and_calls(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    facts = files.where(F.col("parser") == "python").select(
-        "repo_id", "file_path", python_facts("content").alias("facts")
+def parsed_methods_and_calls(
+    files: DataFrame, grammar: Grammar | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Methods and call sites of files that a real parser reads, Python unless told otherwise."""
+    facts = files.select(
+        "repo_id", "file_path",
+        parsed_facts(grammar)(F.col("parser"), F.col("content")).alias("facts"),
     )
     methods = tx.exploded(facts, ["repo_id", "file_path"], F.col("facts.methods"), "m").select(
         _method_id(F.col("m.full_name")).alias("method_id"),
@@ -512,26 +530,37 @@ def python_methods_and_calls(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return methods, calls
 
 
+def parser_of(path: Column) -> Column:
+    pairs = [F.lit(x) for pair in SUFFIX_PARSER.items() for x in pair]
+    return F.try_element_at(F.create_map(*pairs), tx.suffix(path))
+
+
 def with_parser(files: DataFrame) -> DataFrame:
     """Files the method graph reads, with the parser their suffix selects."""
-    pairs = [F.lit(x) for pair in SUFFIX_PARSER.items() for x in pair]
-    chosen = F.try_element_at(F.create_map(*pairs), tx.suffix(F.col("file_path")))
-    return files.withColumn("parser", chosen).where(F.col("parser").isNotNull())
+    return files.withColumn("parser", parser_of(F.col("file_path"))).where(
+        F.col("parser").isNotNull()
+    )
 
 
-def extract_methods(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+def extract_methods(
+    files: DataFrame, grammar: Grammar | None = None, grammar_parsers: Sequence[str] = ()
+) -> tuple[DataFrame, DataFrame]:
     """Methods and call sites of all files (``repo_id, file_path, content``).
 
-    A method defined twice under one id keeps its last definition.
+    Files of ``grammar_parsers`` go to ``grammar``, other Python files to Python's own parser,
+    the rest is matched by line. A method defined twice under one id keeps its last definition.
     """
     from codeloom.operators.keyed import keep_last
 
     known = with_parser(files)
-    py_methods, py_calls = python_methods_and_calls(known)
-    other = scripted_methods(known)
-    in_cpp = F.element_at(F.create_map(*[
-        F.lit(x) for suffix, parser in SUFFIX_PARSER.items() for x in (suffix, parser)
-    ]), tx.suffix(F.col("file_path"))) == "cpp"
-    calls = py_calls.unionByName(cpp_calls(known, other.where(in_cpp)))
-    methods = keep_last(py_methods.unionByName(other), ["method_id"], "line_start", "line_end")
-    return methods, calls
+    by_grammar = F.col("parser").isin(list(grammar_parsers)) if grammar_parsers else F.lit(False)
+    rest = known.where(~by_grammar)
+    methods, calls = parsed_methods_and_calls(rest.where(F.col("parser") == "python"))
+    other = scripted_methods(rest)
+    in_cpp = parser_of(F.col("file_path")) == "cpp"
+    methods = methods.unionByName(other)
+    calls = calls.unionByName(cpp_calls(rest, other.where(in_cpp)))
+    if grammar_parsers:
+        more_methods, more_calls = parsed_methods_and_calls(known.where(by_grammar), grammar)
+        methods, calls = methods.unionByName(more_methods), calls.unionByName(more_calls)
+    return keep_last(methods, ["method_id"], "line_start", "line_end"), calls

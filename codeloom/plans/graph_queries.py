@@ -17,8 +17,9 @@ from codeloom.operators import (
     keyed,
     services,
 )
-from codeloom.plans.registry import query, table, wide_ints
+from codeloom.plans.registry import query, spread_table, table, wide_ints
 from codeloom.plans.table_queries import _LINES, _windows_sql, spans
+from codeloom.sources.tables import Scratch
 
 # ------------------------------------------------------------------------ call graph
 
@@ -217,7 +218,8 @@ def graph_annotation(spark: SparkSession, sf: str) -> DataFrame:
         "start_line",
         "end_line",
     )
-    small = spans(spark, sf, 7, 0)
+    scratch = Scratch(spark)  # stays: the result is read from it after this function returns
+    small = scratch.settle(spans(spark, sf, 7, 0).drop("content"), "methods")
     own = F.concat_ws("::m", F.col("doc_id"), F.col("block"))
     method_rows = small.select(
         own.alias("method_id"),
@@ -394,7 +396,7 @@ def order_sources(spark: SparkSession, sf: str) -> DataFrame:
         .when(F.col("o_orderstatus") == "F", 'row.find("insert insert")')
         .otherwise("select(row); update(row)"),
     )
-    return table(spark, sf, "orders").select(
+    return spread_table(spark, sf, "orders").select(
         F.concat(F.lit("svc"), F.col("o_custkey").cast("string")).alias("repo_id"),
         F.concat(F.lit("app/o"), order, F.lit(".py")).alias("file_path"),
         F.lit("python").alias("service_language"),
@@ -522,7 +524,7 @@ def env_targets(spark: SparkSession, sf: str) -> DataFrame:
 def rpc_edges(spark: SparkSession, sf: str) -> DataFrame:
     """Line items call a job by name; the brand of the part hosts the job's file."""
     brand = F.concat(F.lit("Brand#"), (1 + F.col("l_suppkey") % 25).cast("string"))
-    files = table(spark, sf, "lineitem").select(
+    files = spread_table(spark, sf, "lineitem").select(
         brand.alias("repo_id"),
         F.concat(F.lit("src/o"), F.col("l_orderkey").cast("string"), F.lit(".ts")).alias("file_path"),
         F.concat(
@@ -715,7 +717,7 @@ def python_sources(spark: SparkSession, sf: str) -> DataFrame:
     key = F.col("p_partkey").cast("string")
     size = F.col("p_size")
     body = F.repeat(F.lit("        total += 1\n"), size)
-    return table(spark, sf, "part").select(
+    return spread_table(spark, sf, "part").select(
         F.col("p_brand").alias("repo_id"),
         _code("lib/part", key, ".py").alias("file_path"),
         F.lit("python").alias("language"),
@@ -737,7 +739,7 @@ def python_sources(spark: SparkSession, sf: str) -> DataFrame:
     UNION ALL SELECT svc || '::' || f || '::load_' || k, 'load_' || k, NULL, 'def load_' || k || '(a, b)', n + 5, n + 6 FROM p"""
 )
 def python_methods(spark: SparkSession, sf: str) -> DataFrame:
-    found, _ = definitions.python_methods_and_calls(
+    found, _ = definitions.parsed_methods_and_calls(
         definitions.with_parser(python_sources(spark, sf))
     )
     return wide_ints(found.select("method_id", "name", "class_name", "signature", "line_start", "line_end"))
@@ -751,7 +753,7 @@ def python_methods(spark: SparkSession, sf: str) -> DataFrame:
     UNION ALL SELECT f || 'load_' || k, 'price', n + 6 FROM p"""
 )
 def python_calls(spark: SparkSession, sf: str) -> DataFrame:
-    _, found = definitions.python_methods_and_calls(
+    _, found = definitions.parsed_methods_and_calls(
         definitions.with_parser(python_sources(spark, sf))
     )
     return wide_ints(found.select("caller_id", "callee_name", "line"))
@@ -788,7 +790,7 @@ def scripted_sources(spark: SparkSession, sf: str) -> DataFrame:
         F.when(kind == "STANDARD", ".go").when(kind == "MEDIUM", ".ts").when(kind == "PROMO", ".java")
         .when(kind == "SMALL", ".rs").when(kind == "LARGE", ".rb").otherwise(".cpp")
     )
-    return table(spark, sf, "part").select(
+    return spread_table(spark, sf, "part").select(
         F.col("p_brand").alias("repo_id"), _code("src/p", key, suffix).alias("file_path"), content.alias("content")
     )
 

@@ -31,6 +31,17 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table for work that is heavy per row (parsing, pattern matching, encoding).
+
+    Rows are only shuffled when the scan has fewer splits than there are cores; a table of
+    many files keeps the splits it has.
+    """
+    rows = table(spark, sf, name)
+    cores = spark.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def wide_ints(df: DataFrame) -> DataFrame:
     """Integers as bigint, the type the SQL side returns."""
     return df.select(

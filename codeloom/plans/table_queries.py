@@ -9,7 +9,7 @@ from codeloom.functions import text as tx
 from codeloom.functions import vectors
 from codeloom.functions.keywords import STOP_WORDS, keywords
 from codeloom.operators import chunking, formatting, keyed, merging, overlap, vector_search
-from codeloom.plans.registry import query, table, wide_ints
+from codeloom.plans.registry import query, spread_table, table, wide_ints
 from codeloom.sources import file_profile, ignore_rules
 
 # --------------------------------------------------------------------------- vectors
@@ -108,7 +108,7 @@ def sources(spark: SparkSession, sf: str) -> DataFrame:
         .when(F.col("lang") == "fr", ".md")
         .otherwise(".txt")
     )
-    return table(spark, sf, "documents").select(
+    return spread_table(spark, sf, "documents").select(
         "doc_id",
         F.col("source").alias("repo_id"),
         F.concat(F.col("lang"), F.lit("/doc"), F.col("doc_id").cast("string"), suffix).alias("file_path"),
@@ -141,7 +141,7 @@ def _windows_sql(name: str, size: int, step: int, extra: str = "") -> str:
     SELECT doc_id, block, start_line, end_line, md5(content) AS digest FROM w"""
 )
 def chunk_lines(spark: SparkSession, sf: str) -> DataFrame:
-    files = table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
+    files = spread_table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
     chunks = chunking.line_windows(files, 32, 8)
     return wide_ints(
         chunks.select("doc_id", "block", "start_line", "end_line", F.md5("content").alias("digest"))
@@ -190,7 +190,7 @@ _BLANK = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_
                md5({_BLANK.format(c='html')}) AS digest FROM pages"""
 )
 def blank_code(spark: SparkSession, sf: str) -> DataFrame:
-    code = table(spark, sf, "pages").select("page_id", tx.blank_code(F.col("html")).alias("code"))
+    code = spread_table(spark, sf, "pages").select("page_id", tx.blank_code(F.col("html")).alias("code"))
     return wide_ints(
         code.select("page_id", F.length("code").alias("code_chars"), F.md5("code").alias("digest"))
     )
@@ -210,7 +210,7 @@ _STOP_SQL = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
     FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id AND n <= 20 GROUP BY d.doc_id"""
 )
 def keyword_extract(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(
+    return spread_table(spark, sf, "documents").select(
         "doc_id", F.array_join(keywords(F.col("text")), " ").alias("keywords")
     )
 
@@ -222,7 +222,7 @@ def keyword_extract(spark: SparkSession, sf: str) -> DataFrame:
         ELSE text END) AS digest FROM ln JOIN documents USING (doc_id)"""
 )
 def elide_middle(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(
+    return spread_table(spark, sf, "documents").select(
         "doc_id", F.md5(tx.elide_middle(F.col("text"), 10)).alias("digest")
     )
 
@@ -261,7 +261,7 @@ def document_prompts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def spans(spark: SparkSession, sf: str, size: int, overlap_lines: int) -> DataFrame:
-    files = table(spark, sf, "documents").select(
+    files = spread_table(spark, sf, "documents").select(
         "doc_id", F.col("source").alias("repo_id"), F.col("text").alias("content")
     )
     return chunking.line_windows(files, size, overlap_lines)

@@ -128,3 +128,15 @@ def test_window_chunks(spark):
     assert chunks_of(spark, "e.md", "markdown", "") == []
     assert [c[2:] for c in chunks_of(spark, "b.md", "markdown", "\n \n\t\n\nx\n", 2, 0)] == [(5, 5)]
     assert len(chunks_of(spark, "o.md", "markdown", "a\nb\nc", 2, 5)) == 3
+
+
+def test_a_grammar_replaces_line_matching(spark):
+    def grammar(parser, source):
+        method = {"name": parser, "full_name": parser, "class_name": None, "signature": source,
+                  "docstring": None, "line_start": 1, "line_end": 2}
+        return {"methods": [method], "calls": [{"caller": parser, "callee_name": "x", "line": 1}]}
+
+    files = spark.createDataFrame([("s", "a.go", "func Z() {\n}\n"), ("s", "b.py", "def f():\n    g()\n")], FILES)
+    methods, sites = definitions.extract_methods(files, grammar, ["go"])
+    assert sorted(m.full_name for m in methods.collect()) == ["f", "go"]
+    assert sorted(c.callee_name for c in sites.collect()) == ["g", "x"]
