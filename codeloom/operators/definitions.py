@@ -497,7 +497,9 @@ def cpp_calls(files: DataFrame, methods: DataFrame) -> DataFrame:
         ["service_id", "file_path"],
         ("line", "line_last"),
     )
-    return inside.select("service_id", F.col("method_id").alias("caller_id"), "callee_name", "line")
+    return inside.select(
+        "service_id", "file_path", F.col("method_id").alias("caller_id"), "callee_name", "line"
+    )
 
 
 def parsed_methods_and_calls(
@@ -523,6 +525,7 @@ def parsed_methods_and_calls(
     )
     calls = tx.exploded(facts, ["repo_id", "file_path"], F.col("facts.calls"), "c").select(
         F.col("repo_id").alias("service_id"),
+        "file_path",
         _method_id(F.col("c.caller")).alias("caller_id"),
         F.col("c.callee_name").alias("callee_name"),
         F.col("c.line").alias("line"),

@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as tx
 from codeloom.operators.overlap import overlap_join
 
+Settle = Callable[[DataFrame, str], DataFrame]
+
+
+def unsettled(rows: DataFrame, name: str) -> DataFrame:
+    """Leave an intermediate result in the plan instead of writing it."""
+    return rows
+
+
 CALLER_WEIGHT = 0.6
 CALLEE_WEIGHT = 0.5
 SCORE_FLOOR = 0.15
@@ -27,39 +38,66 @@ def neighbours(edges: DataFrame, kind: str = "method_call") -> DataFrame:
     return callers.unionByName(callees)
 
 
-def spread_scores(
+@dataclass
+class Spread:
+    """Scores of the methods reached, and the callees that no method node stands for."""
+
+    scores: DataFrame
+    unknown: DataFrame
+
+
+def spread(
     seeds: DataFrame,
     edges: DataFrame,
     known: DataFrame,
     depth: int = 2,
     floor: float = SCORE_FLOOR,
-) -> DataFrame:
-    """Methods reached from ``seeds(method_id, score)`` as ``method_id, score``.
+    settle: Settle = unsettled,
+) -> Spread:
+    """Follow call edges from ``seeds(method_id, score)`` for ``depth`` hops.
 
     Every hop multiplies by the edge's weight and drops what falls below ``floor``; a method
     keeps its best score over all paths, and seeds are left out. Only methods in
     ``known(method_id)`` carry the spread on. Each level is reduced to one row per method
-    before it is joined again, so paths never multiply.
+    before it is joined again, so paths never multiply. With ``settle`` a level is written
+    before it is joined: Spark then knows its size and scans the edges against a broadcast
+    level while that is small, and shuffles when a hub makes it large.
     """
     around = neighbours(edges)
     known = known.select("method_id")
-    level = seeds.groupBy("method_id").agg(F.max("score").alias("score"))
+    level = settle(seeds.groupBy("method_id").agg(F.max("score").alias("score")), "seeds")
     start = level.select("method_id")
-    reached = None
-    for _ in range(depth):
-        step = (
-            level.join(around, level["method_id"] == around["node"])
-            .select(F.col("next").alias("method_id"), (F.col("score") * F.col("weight")).alias("score"))
-            .where(F.col("score") >= floor)
+    reached, unknown = level.where(F.lit(False)), start.where(F.lit(False))
+    for hop in range(depth):
+        onward = level.join(around, level["method_id"] == around["node"]).select(
+            F.col("next").alias("method_id"),
+            (F.col("score") * F.col("weight")).alias("score"),
+            (F.col("weight") == CALLEE_WEIGHT).alias("callee"),
+        )
+        step = settle(
+            onward.where(F.col("score") >= floor)
             .groupBy("method_id")
-            .agg(F.max("score").alias("score"))
+            .agg(F.max("score").alias("score"), F.max("callee").alias("callee")),
+            f"step{hop}",
         )
-        level = step.join(known, "method_id", "left_semi")
-        reached = level if reached is None else reached.unionByName(level)
-    if reached is None:
-        return start.select("method_id", F.lit(0.0).alias("score")).where(F.lit(False))
+        level = settle(known.join(step.drop("callee"), "method_id"), f"level{hop}")
+        missing = step.where(F.col("callee")).join(level, "method_id", "left_anti")
+        reached = reached.unionByName(level)
+        unknown = unknown.unionByName(missing.select("method_id"))
     best = reached.groupBy("method_id").agg(F.max("score").alias("score"))
-    return best.join(start, "method_id", "left_anti")
+    return Spread(best.join(start, "method_id", "left_anti"), unknown.distinct())
+
+
+def spread_scores(
+    seeds: DataFrame,
+    edges: DataFrame,
+    known: DataFrame,
+    depth: int = 2,
+    floor: float = SCORE_FLOOR,
+    settle: Settle = unsettled,
+) -> DataFrame:
+    """The scores of :func:`spread` as ``method_id, score``."""
+    return spread(seeds, edges, known, depth, floor, settle).scores
 
 
 def matching_methods(hits: DataFrame, methods: DataFrame) -> DataFrame:
@@ -70,6 +108,14 @@ def matching_methods(hits: DataFrame, methods: DataFrame) -> DataFrame:
     return overlap_join(hits, spans, ["repo_id", "file_path"])
 
 
+@dataclass
+class Expansion:
+    """Bonus chunks, and one row with the methods and files the expansion had to skip."""
+
+    bonus: DataFrame
+    gaps: DataFrame
+
+
 def expand_hits(
     hits: DataFrame,
     methods: DataFrame,
@@ -77,26 +123,26 @@ def expand_hits(
     files: DataFrame,
     depth: int = 2,
     max_chunks: int = 30,
-) -> DataFrame:
+    settle: Settle = unsettled,
+) -> Expansion:
     """Chunks for the methods around the hits, best ``max_chunks``.
 
     ``files(repo_id, file_path, content)`` supplies the text; a method whose file is gone
     yields nothing.
     """
+    file_key = ["repo_id", "file_path"]
     seeds = matching_methods(hits, methods).select("method_id", "score")
-    reached = spread_scores(seeds, edges, methods, depth)
-    bonus = (
-        reached.join(methods, "method_id")
-        .withColumnRenamed("service_id", "repo_id")
-        .join(files.select("repo_id", "file_path"), ["repo_id", "file_path"], "left_semi")
-        .orderBy(F.desc("score"), F.asc("method_id"))
-        .limit(max_chunks)
-    )
+    found = spread(seeds, edges, methods, depth, settle=settle)
+    nodes = methods.withColumnRenamed("service_id", "repo_id")
+    reached = settle(nodes.join(found.scores, "method_id"), "reached")
+    # Files are unique by their key, so an inner join tests for the file; unlike a semi join it
+    # lets Spark broadcast the reached methods instead of moving the file table.
+    present = settle(reached.join(files.select(*file_key), file_key), "present")
+    bonus = present.orderBy(F.desc("score"), F.asc("method_id")).limit(max_chunks)
     text = F.broadcast(bonus).join(
-        files.select("repo_id", "file_path", F.col("content").alias("_file")),
-        ["repo_id", "file_path"],
+        files.select(*file_key, F.col("content").alias("_file")), file_key
     )
-    return text.select(
+    chunks = text.select(
         F.col("method_id").alias("chunk_id"),
         "score",
         "file_path",
@@ -108,24 +154,9 @@ def expand_hits(
         F.lit("method").alias("chunk_type"),
         F.lit("python").alias("language"),
     )
-
-
-def expansion_gaps(
-    seeds: DataFrame, edges: DataFrame, methods: DataFrame, files: DataFrame, depth: int = 2
-) -> DataFrame:
-    """One row with ``skipped_methods`` (callees without a node) and ``skipped_files``."""
-    everything = edges.select(F.col("target_id").alias("method_id")).unionByName(
-        methods.select("method_id")
-    )
-    reached = spread_scores(seeds, edges, everything.distinct(), depth)
-    present = methods.select(
-        "method_id", F.col("service_id").alias("repo_id"), "file_path", F.lit(1).alias("_m")
-    ).join(
-        files.select("repo_id", "file_path").withColumn("_f", F.lit(1)),
-        ["repo_id", "file_path"],
-        "left",
-    )
-    return reached.join(present, "method_id", "left").agg(
-        F.count(F.when(F.col("_m").isNull(), 1)).alias("skipped_methods"),
-        F.count(F.when(F.col("_m").isNotNull() & F.col("_f").isNull(), 1)).alias("skipped_files"),
+    lost = reached.join(present, "method_id", "left_anti").select(F.lit("files").alias("what"))
+    counted = lost.unionByName(found.unknown.select(F.lit("methods").alias("what"))).agg(
+        F.count(F.when(F.col("what") == "methods", 1)).alias("skipped_methods"),
+        F.count(F.when(F.col("what") == "files", 1)).alias("skipped_files"),
     )
+    return Expansion(chunks, counted)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.operators.expansion import matching_methods
+from codeloom.operators.expansion import Settle, matching_methods, unsettled
 
 
 def dependencies(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -109,20 +109,27 @@ def flows_of_methods(edges: DataFrame, flows: DataFrame) -> DataFrame:
 
 
 def annotate_hits(
-    hits: DataFrame, methods: DataFrame, edges: DataFrame, flows: DataFrame | None = None
+    hits: DataFrame,
+    methods: DataFrame,
+    edges: DataFrame,
+    flows: DataFrame | None = None,
+    settle: Settle = unsettled,
 ) -> DataFrame:
     """Per hit the callers and callees of all methods it overlaps, and the first flow.
 
     Hits without a method are absent. Degrees are needed for the matched methods only, so
-    the edges are cut down to those before they are counted.
+    the edges are cut down to those before they are counted; settled, the few matched methods
+    are broadcast to the edges and the few edges left to the methods.
     """
-    pairs = matching_methods(hits, methods).select("chunk_id", "method_id")
+    pairs = settle(matching_methods(hits, methods).select("chunk_id", "method_id"), "matched")
     wanted = pairs.select("method_id").distinct()
     calls = edges.where(F.col("kind") == "method_call").select("source_id", "target_id")
-    near = calls.join(wanted, calls["target_id"] == wanted["method_id"], "left_semi")
-    ids = methods.select("method_id")
+    near = settle(
+        calls.join(wanted, calls["target_id"] == wanted["method_id"], "left_semi"), "incoming"
+    )
+    ids = methods.select(F.col("method_id").alias("source_id"))
     incoming = (
-        near.join(ids, near["source_id"] == ids["method_id"], "left_semi")
+        ids.join(near, "source_id")
         .groupBy(F.col("target_id").alias("method_id"))
         .agg(F.count(F.lit(1)).alias("_in"))
     )

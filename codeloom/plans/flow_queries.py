@@ -50,8 +50,9 @@ def _search(spark: SparkSession, sf: str) -> DataFrame:
         F.col("text").alias("content"),
     )
     hits = scratch.settle(search_hits(chunks, [query_vector(spark, sf)], 24), "hits")
-    bonus = scratch.settle(expansion.expand_hits(hits, methods, edges, files), "bonus")
-    return result_blocks(hits, bonus, files, 24)
+    around = expansion.expand_hits(hits, methods, edges, files, settle=scratch.settle)
+    bonus = scratch.settle(around.bonus, "bonus")
+    return result_blocks(hits, bonus, files, 24, scratch.settle)
 
 
 @query(

@@ -144,7 +144,9 @@ def expand_scored(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("method_id"),
         (F.col("s_acctbal") / 10000).alias("score"),
     )
-    spread = expansion.spread_scores(seeds, call_edges(spark, sf), methods(spark, sf), depth=2)
+    scratch = Scratch(spark)
+    edges = scratch.settle(call_edges(spark, sf).drop("metadata"), "edges")
+    spread = expansion.spread_scores(seeds, edges, methods(spark, sf), 2, settle=scratch.settle)
     return spread.select("method_id", F.round("score", 6).alias("score"))
 
 
@@ -244,7 +246,9 @@ def graph_annotation(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("flow-"), "repo_id").alias("name"),
         F.lit("").alias("entry_method_id"),
     )
-    return graph.annotate_hits(hits, method_rows, call_rows.unionByName(step_rows), flows)
+    return graph.annotate_hits(
+        hits, method_rows, call_rows.unionByName(step_rows), flows, scratch.settle
+    )
 
 
 # ------------------------------------------------------------------- changes and upserts

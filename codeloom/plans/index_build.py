@@ -42,10 +42,7 @@ class Index:
         self.files = table("files", schema.FILES)
         self.chunks = table("chunks", schema.EMBEDDED_CHUNKS)
         self.methods = table("methods", schema.METHODS, ("service_id", "file_path"))
-        self.sites = table(
-            "call_sites", type(schema.FILES)([schema.FILES["file_path"], *schema.CALL_SITES.fields]),
-            ("service_id", "file_path"),
-        )
+        self.sites = table("call_sites", schema.CALL_SITES, ("service_id", "file_path"))
         self.edges = table("edges", type(schema.FILES)([repo, *schema.EDGES.fields]), ("repo_id",))
         self.resources = table(
             "resources", type(schema.FILES)([repo, *schema.RESOURCES.fields]), ("repo_id",)
@@ -245,10 +242,7 @@ def _apply(
     service_keys = keys.select(F.col("repo_id").alias("service_id"), "file_path")
     methods, sites = definitions.extract_methods(text)
     index.methods.replace(service_keys, methods)
-    placed = sites.join(
-        index.methods.read().select(F.col("method_id").alias("caller_id"), "file_path"), "caller_id"
-    )
-    index.sites.replace(service_keys, placed)
+    index.sites.replace(service_keys, sites)
 
     progress("linking services")
     _relink(spark, index, settings, scan, changes, scratch)

@@ -66,7 +66,11 @@ def search_hits(
 
 
 def result_blocks(
-    hits: DataFrame, bonus: DataFrame, files: DataFrame, top_k: int
+    hits: DataFrame,
+    bonus: DataFrame,
+    files: DataFrame,
+    top_k: int,
+    settle: expansion.Settle = expansion.unsettled,
 ) -> DataFrame:
     """Hits and bonus chunks merged per file, covered blocks dropped, at most ``top_k`` left.
 
@@ -84,9 +88,11 @@ def result_blocks(
         ordered, file_cols=file_cols, carry=("symbol", "chunk_type", "language", "content")
     )
     labelled = merging.found_by(merging.drop_covered(merged, file_cols), bonus)
-    best = merging.quota_topk(labelled, top_k)
-    text = files.select("repo_id", "file_path", F.col("content").alias("_file"))
-    whole = text.join(F.broadcast(best), ["repo_id", "file_path"], "right")
+    best = settle(merging.quota_topk(labelled, top_k), "best")
+    text = files.select(*file_cols, F.col("content").alias("_file"))
+    # The semi join reduces the file table where it is scanned; an outer join could not.
+    needed = text.join(F.broadcast(best.select(*file_cols)), list(file_cols), "left_semi")
+    whole = best.join(needed, list(file_cols), "left")
     grown = tx.text_range(F.col("_file"), F.col("start_line"), F.col("end_line"))
     ranked = merging.with_ordinal(
         whole.withColumn("content", F.when(F.size("part_ids") > 1, F.coalesce(grown, "content")).otherwise(F.col("content")))
@@ -110,17 +116,14 @@ def search_blocks(
     with diagnostics.phase("embedding_search"):
         hits = scratch.settle(search_hits(index.chunks.read(), vectors, top_k), "hits")
     with diagnostics.phase("graph_expansion"):
-        bonus = scratch.settle(
-            expansion.expand_hits(
-                hits, methods, edges, files, settings.expand_depth, settings.expand_max_chunks
-            ),
-            "bonus",
+        around = expansion.expand_hits(
+            hits, methods, edges, files, settings.expand_depth, settings.expand_max_chunks, scratch.settle
         )
-        seeds = expansion.matching_methods(hits, methods).select("method_id", "score")
-        gaps = expansion.expansion_gaps(seeds, edges, methods, files, settings.expand_depth).head()
+        bonus = scratch.settle(around.bonus, "bonus")
+        gaps = around.gaps.head()
         diagnostics.skipped_methods, diagnostics.skipped_files = gaps
     with diagnostics.phase("merge_dedup"):
-        return scratch.settle(result_blocks(hits, bonus, files, top_k), "blocks")
+        return scratch.settle(result_blocks(hits, bonus, files, top_k, scratch.settle), "blocks")
 
 
 def refresh(
@@ -178,7 +181,7 @@ def _answer(
     with diagnostics.phase("rerank"):
         if ask is not None and index.settings.rerank:
             notes = graph.annotate_hits(
-                blocks, index.methods.read(), index.call_edges(), index.flows.read()
+                blocks, index.methods.read(), index.call_edges(), index.flows.read(), scratch.settle
             )
             located = _located(index, blocks).withColumn("file_path", F.col("path"))
             entries = ranking.prompt_entries(located.join(notes, "chunk_id", "left"))

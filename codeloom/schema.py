@@ -61,7 +61,9 @@ FLOWS = _struct(
     "flow_id string, name string, service_id string, entry_method_id string, step_count int"
 )
 
-CALL_SITES = _struct("service_id string, caller_id string, callee_name string, line int")
+CALL_SITES = _struct(
+    "service_id string, file_path string, caller_id string, callee_name string, line int"
+)
 
 EDGES = _struct(
     "source_id string, target_id string, kind string, metadata map<string,string>"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,11 +20,18 @@ LISTING = "repo_id string, file_path string, abs_path string, size bigint, mtime
 READ_BATCH_BYTES = 16 * 1024 * 1024
 
 
-class Subtree(InputPartition):
-    """One folder to list; ``deep`` also lists everything below it."""
+class Folder(NamedTuple):
+    """A folder to list; ``deep`` also lists everything below it."""
 
-    def __init__(self, repo_id: str, root: str, folder: str, deep: bool):
-        self.repo_id, self.root, self.folder, self.deep = repo_id, root, folder, deep
+    repo_id: str
+    root: str
+    path: str
+    deep: bool
+
+
+class Folders(InputPartition):
+    def __init__(self, folders: list[Folder]):
+        self.folders = folders
 
 
 class SourceTreeReader(DataSourceReader):
@@ -32,44 +40,47 @@ class SourceTreeReader(DataSourceReader):
         self.skip = set(json.loads(options.get("skipdirs", "[]")))
         self.target = int(options.get("partitions", "64"))
 
-    def _folders(self, folder: str) -> list[str]:
-        with os.scandir(folder) as entries:
+    def _below(self, path: str) -> list[str]:
+        with os.scandir(path) as entries:
             found = [e.path for e in entries if e.is_dir(follow_symlinks=False)]
         return [p for p in found if os.path.basename(p) not in self.skip]
 
     def partitions(self) -> list[InputPartition]:
-        """Folders are opened level by level until there are enough to share out.
+        """Folders are opened level by level until there are enough to share out evenly.
 
-        A repository that holds most of the files is split over many tasks this way.
+        A repository that holds most of the files is split over many tasks this way; the
+        number of tasks stays at the target however many folders a level has.
         """
-        deep = [Subtree(r, p, p, True) for r, p in self.repos if os.path.isdir(p)]
-        flat: list[Subtree] = []
-        while deep and len(deep) < self.target:
-            opened: list[Subtree] = []
-            for part in deep:
-                flat.append(Subtree(part.repo_id, part.root, part.folder, False))
-                opened += [Subtree(part.repo_id, part.root, f, True) for f in self._folders(part.folder)]
-            deep = opened
-        return [*flat, *deep]
-
-    def read(self, partition: Subtree) -> Iterator[tuple]:
-        pending = [partition.folder]
-        while pending:
-            folder = pending.pop()
-            if partition.deep:
-                pending.extend(self._folders(folder))
-            with os.scandir(folder) as entries:
-                files = sorted((e for e in entries if e.is_file()), key=lambda e: e.name)
-            paths = [e.path for e in files]
-            if folder == partition.root:
-                paths.append(os.path.join(folder, EXCLUDE_FILE))
-            for path in paths:
-                try:
-                    stat = os.stat(path)
-                except OSError:
-                    continue
-                relative = os.path.relpath(path, partition.root)
-                yield (partition.repo_id, relative, path, stat.st_size, stat.st_mtime)
+        deep = [Folder(r, p, p, True) for r, p in self.repos if os.path.isdir(p)]
+        flat: list[Folder] = []
+        while deep and len(deep) < 4 * self.target:
+            flat += [folder._replace(deep=False) for folder in deep]
+            deep = [f._replace(path=p) for f in deep for p in self._below(f.path)]
+        folders = [*deep, *flat]
+        shares = max(1, min(self.target, len(folders)))
+        return [Folders(folders[i::shares]) for i in range(shares)]
+
+    def read(self, partition: Folders) -> Iterator[tuple]:
+        for folder in partition.folders:
+            pending = [folder.path]
+            while pending:
+                path = pending.pop()
+                if folder.deep:
+                    pending.extend(self._below(path))
+                yield from self._files(folder, path)
+
+    def _files(self, folder: Folder, path: str) -> Iterator[tuple]:
+        with os.scandir(path) as entries:
+            paths = sorted(e.path for e in entries if e.is_file())
+        if path == folder.root:
+            paths.append(os.path.join(path, EXCLUDE_FILE))
+        for name in paths:
+            try:
+                stat = os.stat(name)
+            except OSError:
+                continue
+            relative = os.path.relpath(name, folder.root)
+            yield (folder.repo_id, relative, name, stat.st_size, stat.st_mtime)
 
 
 class SourceTree(DataSource):

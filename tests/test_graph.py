@@ -55,13 +55,13 @@ def test_expand_hits_caps_and_reads_text(spark):
         [("svc", f"{n}.py", "l1\nl2\nl3\n") for n in ["m", *names[1:]]],
         "repo_id string, file_path string, content string",
     )
-    bonus = expansion.expand_hits(hits, methods, edges, files, 1, 5).collect()
+    ghost = edges.union(edges_of(spark, [("m", "ghost"), ("nobody", "m")]))
+    found = expansion.expand_hits(hits, methods, ghost, files, 1, 5)
+    bonus = found.bonus.collect()
     assert len(bonus) == 5
     assert {r.content for r in bonus} == {"l1\nl2\nl3"}
     assert all(r.score == pytest.approx(0.54) for r in bonus)
-    seeds = expansion.matching_methods(hits, methods).select("method_id", "score")
-    gaps = expansion.expansion_gaps(seeds, edges.union(edges_of(spark, [("m", "ghost")])), methods, files, 1)
-    assert tuple(gaps.head()) == (1, 1)
+    assert tuple(found.gaps.head()) == (1, 1)
 
 
 def test_call_paths_match_brute_force(spark):
