@@ -48,11 +48,26 @@ class RateLimited(Exception):
     """Raised by a client whose key has no quota left for now."""
 
 
+def _status(error: Exception) -> int | None:
+    status = getattr(error, "status_code", None) or getattr(error, "code", None)
+    return status if isinstance(status, int) else None
+
+
+def _key_trouble(error: Exception) -> str | None:
+    """'limited' or 'rejected' where the key is at fault, else None."""
+    status = _status(error)
+    if isinstance(error, RateLimited) or status == 429:
+        return "limited"
+    bad_key = status == 400 and "api key" in str(error).lower()
+    return "rejected" if status in (401, 403) or bad_key else None
+
+
 class KeyRing:
     """A model over several interchangeable clients, one per key.
 
-    A limited client is passed over for the next; when all are limited the ring waits, longer
-    each round, and starts again for as long as it takes. Other errors go to the caller.
+    A client whose key is limited or rejected is passed over for the next. When all are
+    limited the ring waits, longer each round, and starts again for as long as it takes; when
+    the last round met a rejected key it gives up. Other errors go to the caller at once.
     """
 
     def __init__(
@@ -70,20 +85,36 @@ class KeyRing:
     def encode(self, texts: Sequence[str], kind: str = "document") -> list[list[float]]:
         rounds = 0
         while True:
+            rejected = []
             for _ in self.clients:
                 client = self.clients[self.next_client]
                 self.next_client = (self.next_client + 1) % len(self.clients)
                 try:
                     return client(texts, kind)
-                except RateLimited:
-                    continue
+                except Exception as error:
+                    trouble = _key_trouble(error)
+                    if trouble is None:
+                        raise
+                    if trouble == "rejected":
+                        rejected.append(str(error))
+            if rejected:
+                raise RuntimeError("no key works: " + "; ".join(rejected))
             self.wait(min(BASE_DELAY * 2**rounds, MAX_DELAY))
             rounds += 1
 
 
+def takes_prompts(model_name: str) -> bool:
+    """Models of the gemini embedding family from version 2 on want task prompts in the text."""
+    version = model_name.removeprefix("gemini-embedding-")
+    return version != model_name and version.isdigit() and int(version) >= 2
+
+
+def query_prompt(model_name: str, query: str) -> str:
+    return f"task: code retrieval | query: {query}" if takes_prompts(model_name) else query
+
+
 def _is_transient(error: Exception) -> bool:
-    status = getattr(error, "status_code", None) or getattr(error, "code", None)
-    return isinstance(error, OSError) or (isinstance(status, int) and status >= 500)
+    return isinstance(error, OSError) or (_status(error) or 0) >= 500
 
 
 def encode_with_retry(

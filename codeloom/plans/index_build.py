@@ -197,12 +197,16 @@ def build(
 
 
 def _forget(index: Index, settings: Settings, scratch: Scratch) -> None:
-    """Untrack the repositories' files; the build that follows sees them all as added."""
+    """Drop all file facts of the repositories; the build that follows sees every file as added."""
     repos = [r.repo_id for r in settings.repos]
     tracked = index.tracked.read().where(F.col("repo_id").isin(repos))
     known = scratch.settle(tracked.select("repo_id", "file_path"), "known")
-    index.chunks.replace(known, index.chunks.read().where(F.lit(False)))
-    index.tracked.replace(known, index.tracked.read().where(F.lit(False)))
+    owned = known.select(F.col("repo_id").alias("service_id"), "file_path")
+    for table, keys in (
+        (index.files, known), (index.chunks, known), (index.methods, owned), (index.sites, owned),
+        (index.tracked, known),
+    ):
+        table.replace(keys, table.read().where(F.lit(False)))
 
 
 def _apply(
@@ -232,7 +236,7 @@ def _apply(
         ["chunk_id"],
         "start_line",
     )
-    titled = model.name.startswith("gemini-") and not model.name.startswith("gemini-embedding-001")
+    titled = encoding.takes_prompts(model.name)
     encoded = encoding.encode_chunks(chunks, model, settings.encode_batch, titled)
     stored = scratch.settle(encoded, "encoded")
     index.chunks.replace(keys, stored.drop("encode_seconds", "encode_retries"))

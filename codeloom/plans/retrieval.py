@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import text as tx
 from codeloom.operators import expansion, formatting, graph, merging, ranking, vector_search
-from codeloom.operators.encoding import EmbeddingModel
+from codeloom.operators.encoding import EmbeddingModel, query_prompt
 from codeloom.operators.keyed import keep_best
 from codeloom.plans.index_build import Index, build
 from codeloom.settings import Settings
@@ -174,7 +174,8 @@ def _answer(
     diagnostics: Diagnostics,
     scratch: Scratch,
 ) -> str:
-    texts = ranking.expand_query(query, ask) if expand else [query]
+    asked = ranking.expand_query(query, ask) if expand else [query]
+    texts = [query_prompt(model.name, text) for text in asked]
     blocks = search_blocks(index, model.encode(texts, "query"), top_k, diagnostics, scratch)
     # A result has at most top_k blocks; these, and the prompt made of them, fit the driver.
     diagnostics.blocks = blocks.orderBy("rank").collect()

@@ -107,16 +107,18 @@ def test_build_update_and_search(spark, place):
         index_build.build(spark, path, settings, encoding.HashModel(32, "other"))
     with pytest.raises(ValueError, match="not part"):
         index_build.build(spark, path, settings, MODEL, repo="nope")
+    os.remove(os.path.join(root, "new.go"))
     again = index_build.build(spark, path, settings, MODEL, rebuild=True, repo="shop")
-    assert again["status"] == "full_build" and again["chunks_added"] == 6
-    assert index.chunks.read().count() == 6
+    assert again["status"] == "full_build" and again["chunks_added"] == 5
+    assert index.chunks.read().count() == 5
+    assert {r.file_path for r in index.methods.read().collect()} == {"auth.py", "lib/sign.py"}
 
     copy = path + "-branch"
     os.makedirs(copy)
     os.rename(path, f"{copy}/branch=main")
     target = f"{copy}/branch=dev"
     assert index_build.seed_from_sibling(spark, copy, target, settings).endswith("branch=main")
-    assert index_build.Index(spark, target, settings).chunks.read().count() == 6
+    assert index_build.Index(spark, target, settings).chunks.read().count() == 5
     assert index_build.build(spark, target, settings, MODEL)["status"] == "clean"
     assert index_build.seed_from_sibling(spark, copy, target, settings) is None
 

@@ -108,6 +108,36 @@ def test_key_ring_rotates_and_waits():
         encoding.KeyRing([], 1, "m")
 
 
+class Refused(Exception):
+    def __init__(self, status, text=""):
+        super().__init__(text)
+        self.code = status
+
+
+def test_key_ring_passes_over_bad_keys_and_gives_up():
+    def refuse(status, text=""):
+        def client(texts, kind):
+            raise Refused(status, text)
+
+        return client
+
+    good = lambda texts, kind: [[2.0]]
+    ring = encoding.KeyRing([refuse(401), refuse(400, "API key expired"), good], 1, "m", lambda s: None)
+    assert ring.encode(["x"]) == [[2.0]]
+    with pytest.raises(RuntimeError, match="no key works"):
+        encoding.KeyRing([refuse(429), refuse(403, "no")], 1, "m", lambda s: None).encode(["x"])
+    with pytest.raises(Refused):
+        encoding.KeyRing([refuse(400, "bad request"), good], 1, "m", lambda s: None).encode(["x"])
+
+
+def test_prompts_by_model():
+    assert [encoding.takes_prompts(m) for m in ("gemini-embedding-001", "gemini-embedding-2", "voyage-code-3")] == [
+        False, True, False,
+    ]
+    assert encoding.query_prompt("gemini-embedding-3", "q") == "task: code retrieval | query: q"
+    assert encoding.query_prompt("hash", "q") == "q"
+
+
 def test_transient_errors_are_retried():
     class Flaky:
         name, dimension, tries = "f", 1, 0
