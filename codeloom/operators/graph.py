@@ -50,45 +50,42 @@ def degrees(edges: DataFrame, methods: DataFrame) -> DataFrame:
     )
 
 
-def call_paths(edges: DataFrame, source: str, target: str, max_nodes: int = 5) -> DataFrame:
+def call_paths(
+    edges: DataFrame, source: str, target: str, max_nodes: int = 5, settle: Settle = unsettled
+) -> DataFrame:
     """All simple call paths from ``source`` to ``target`` with at most ``max_nodes`` nodes.
 
-    ``path`` is an array of ids. First the nodes that can still reach the target within the
-    hops left are found backwards, one distinct set per distance; a path then only grows into
-    those, so dead ends are never carried along.
+    ``path`` is an array of ids; ``edges`` holds each call once. First the nodes that can still
+    reach the target within the hops left are found backwards, one distinct set per distance;
+    a path then only grows into those, so dead ends are never carried along. Settled, every set
+    and every level of paths is computed once, and the edges are only scanned against it.
     """
-    calls = edges.where(F.col("kind") == "method_call").select("source_id", "target_id")
-    calls = calls.where(
-        (F.col("source_id") != target) & (F.col("target_id") != source)
-    ).distinct()
     spark = edges.sparkSession
-    hops = max_nodes - 1
     if source == target:
         return spark.range(1).select(F.array(F.lit(source)).alias("path"))
+    calls = edges.where(
+        (F.col("kind") == "method_call") & (F.col("source_id") != target) & (F.col("target_id") != source)
+    ).select("source_id", "target_id")
     at_target = spark.range(1).select(F.lit(target).alias("node"))
     useful = [at_target]
-    for _ in range(hops - 1):
+    for distance in range(1, max_nodes - 1):
         before = calls.join(useful[-1], calls["target_id"] == F.col("node"), "left_semi")
-        useful.append(
-            before.select(F.col("source_id").alias("node")).unionByName(at_target).distinct()
-        )
-    paths = spark.range(1).select(
-        F.array(F.lit(source)).alias("path"), F.lit(source).alias("last")
-    )
-    found = None
-    for used in range(1, hops + 1):
-        open_nodes = useful[hops - used]
+        nodes = before.select(F.col("source_id").alias("node")).unionByName(at_target).distinct()
+        useful.append(settle(nodes, f"useful{distance}"))
+    paths = spark.range(1).select(F.array(F.lit(source)).alias("path"), F.lit(source).alias("last"))
+    found = paths.select("path").where(F.lit(False))
+    for hop, open_nodes in enumerate(reversed(useful)):
         steps = calls.join(open_nodes, calls["target_id"] == F.col("node"), "left_semi")
-        grown = (
-            paths.join(steps, paths["last"] == steps["source_id"])
-            .where(~F.array_contains("path", F.col("target_id")))
-            .select(
-                F.concat("path", F.array("target_id")).alias("path"),
-                F.col("target_id").alias("last"),
-            )
+        onward = steps.join(paths, paths["last"] == steps["source_id"]).where(
+            ~F.array_contains("path", F.col("target_id"))
+        )
+        grown = settle(
+            onward.select(
+                F.concat("path", F.array("target_id")).alias("path"), F.col("target_id").alias("last")
+            ),
+            f"paths{hop}",
         )
-        done = grown.where(F.col("last") == target).select("path")
-        found = done if found is None else found.unionByName(done)
+        found = found.unionByName(grown.where(F.col("last") == target).select("path"))
         paths = grown.where(F.col("last") != target)
     return found
 

@@ -121,7 +121,9 @@ def callers(spark: SparkSession, sf: str) -> DataFrame:
     SELECT array_to_string(path, '>') AS path FROM walk WHERE last = 'P5'"""
 )
 def call_paths(spark: SparkSession, sf: str) -> DataFrame:
-    found = graph.call_paths(call_edges(spark, sf), "S1", "P5", max_nodes=4)
+    scratch = Scratch(spark)  # stays: the result is read from it after this function returns
+    edges = scratch.settle(call_edges(spark, sf).drop("metadata"), "edges")
+    found = graph.call_paths(edges, "S1", "P5", 4, scratch.settle)
     return found.select(F.array_join("path", ">").alias("path"))
 
 

@@ -377,17 +377,16 @@ def quota_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"""WITH {_merged_sql(12)},
-    p AS (SELECT doc_id, start_line, count(*) AS parts, count(*) FILTER (block % 8 = 0) AS g
-          FROM (SELECT doc_id, start_line, unnest(string_split(chunk_id, '+'))::BIGINT AS block FROM merged)
-          GROUP BY ALL)
+    p AS (SELECT doc_id, min(s) AS start_line, count(*) AS parts, count(*) FILTER (score >= 0.1) AS g
+          FROM walk JOIN h USING (doc_id, n) GROUP BY doc_id, grp)
     SELECT doc_id, start_line, parts, g = parts AS graph_only,
            CASE WHEN g = parts THEN 'graph' WHEN g > 0 THEN 'embedding+graph' ELSE 'embedding' END AS source
     FROM p"""
 )
 def block_sources(spark: SparkSession, sf: str) -> DataFrame:
-    """Every second window counts as found by the graph; whole table, no row is left out."""
+    """Windows rich in the letter e count as found by the graph."""
     hits = _hits(spark, sf).withColumn("chunk_id", F.concat_ws(":", "doc_id", "chunk_id"))
-    from_graph = hits.where(F.col("ordinal") % 8 == 0).select("chunk_id")
+    from_graph = hits.where(F.col("score") >= 0.1).select("chunk_id")
     blocks = merging.merge_neighbours(hits, 12, ("doc_id",))
     labelled = merging.found_by(blocks, from_graph)
     return wide_ints(
