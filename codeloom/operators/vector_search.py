@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,11 +14,12 @@ from codeloom.functions import vectors
 
 
 def _batch_matrix(column: pa.Array) -> np.ndarray:
-    width = len(column[0]) if len(column) else 0
+    """The vectors of a batch as one matrix."""
+    lengths = pc.min_max(pc.list_value_length(column)).as_py()
+    if lengths["min"] != lengths["max"]:
+        raise ValueError("vectors of one index must share one dimension")
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    if flat.size == len(column) * width:
-        return flat.reshape(len(column), width).astype(np.float64)
-    raise ValueError("vectors of one index must share one dimension")
+    return flat.reshape(len(column), lengths["min"]).astype(np.float64)
 
 
 def cosine_scores(

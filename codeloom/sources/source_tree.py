@@ -41,9 +41,15 @@ class SourceTreeReader(DataSourceReader):
         self.target = int(options.get("partitions", "64"))
 
     def _below(self, path: str) -> list[str]:
+        """Folders to enter: neither skipped nor hidden, as nothing in those is indexed."""
         with os.scandir(path) as entries:
-            found = [e.path for e in entries if e.is_dir(follow_symlinks=False)]
-        return [p for p in found if os.path.basename(p) not in self.skip]
+            return [
+                e.path
+                for e in entries
+                if e.is_dir(follow_symlinks=False)
+                and e.name not in self.skip
+                and not e.name.startswith(".")
+            ]
 
     def partitions(self) -> list[InputPartition]:
         """Folders are opened level by level until there are enough to share out evenly.
@@ -106,7 +112,7 @@ def list_files(
     skip_dirs: Iterable[str] = (),
     partitions: int | None = None,
 ) -> DataFrame:
-    """Listing of all repositories; skipped folders are never entered."""
+    """Listing of all repositories; skipped and hidden folders are never entered."""
     spark.dataSource.register(SourceTree)
     share = partitions or 2 * spark.sparkContext.defaultParallelism
     return (

@@ -7,6 +7,7 @@ failed job leaves the old files in place.
 
 from __future__ import annotations
 
+import threading
 import time
 import uuid
 from collections.abc import Sequence
@@ -70,6 +71,18 @@ class Table:
     def _placed(self, rows: DataFrame) -> DataFrame:
         return rows.select(*self.schema.names, bucket_of(self.split_by, self.buckets).alias("bucket"))
 
+    def _touched(self, keys: DataFrame) -> list[int]:
+        """Buckets the keys fall into; at most one number per bucket comes to the driver."""
+        touched = keys.select(bucket_of(self.split_by, self.buckets).alias("bucket")).distinct()
+        return sorted(r.bucket for r in touched.collect())
+
+    def _buckets(self, numbers: list[int]) -> DataFrame:
+        return self._stored().where(F.col("bucket").isin(numbers)).select(*self.schema.names)
+
+    def rows_of(self, keys: DataFrame) -> DataFrame:
+        """The rows with one of the keys; only the buckets these fall into are read."""
+        return self._buckets(self._touched(keys)).join(keys, keys.columns, "left_semi")
+
     def overwrite(self, rows: DataFrame) -> None:
         self._write(self._placed(rows), "static")
 
@@ -83,13 +96,10 @@ class Table:
         if not exists(self.spark, self.path):
             self.overwrite(rows)
             return
-        touched = keys.select(bucket_of(self.split_by, self.buckets).alias("bucket")).distinct()
-        # At most one number per bucket comes to the driver.
-        numbers = sorted(r.bucket for r in touched.collect())
+        numbers = self._touched(keys)
         if not numbers:
             return
-        old = self._stored().where(F.col("bucket").isin(numbers)).select(*self.schema.names)
-        kept = old.join(keys, keys.columns, "left_anti")
+        kept = self._buckets(numbers).join(keys, keys.columns, "left_anti")
         with Scratch(self.spark) as scratch:
             new = scratch.settle(self._placed(kept.unionByName(rows.select(*self.schema.names))), "bucket")
             written = {r.bucket for r in new.select("bucket").distinct().collect()}
@@ -102,14 +112,27 @@ class Table:
 class IndexLock:
     """One build at a time: a lock file that only one driver can create.
 
-    A lock older than ``expires`` seconds belongs to a driver that died and is taken over.
+    The holder renews the file's time while it works, however long that takes. A lock that was
+    not renewed for ``expires`` seconds belongs to a driver that died and is taken over.
     """
 
     def __init__(
-        self, spark: SparkSession, path: str, timeout: float = 300, poll: float = 0.25, expires: float = 6 * 3600
+        self,
+        spark: SparkSession,
+        path: str,
+        timeout: float = 300,
+        poll: float = 0.25,
+        expires: float = 600,
+        renew: float = 60,
     ):
         self.spark, self.path = spark, path
-        self.timeout, self.poll, self.expires = timeout, poll, expires
+        self.timeout, self.poll, self.expires, self.renew = timeout, poll, expires, renew
+        self.done = threading.Event()
+
+    def _renew(self) -> None:
+        fs, at = _filesystem(self.spark, self.path)
+        while not self.done.wait(self.renew):
+            fs.setTimes(at, int(time.time() * 1000), -1)
 
     def __enter__(self) -> IndexLock:
         deadline = time.monotonic() + self.timeout
@@ -121,9 +144,11 @@ class IndexLock:
             if time.monotonic() >= deadline:
                 raise TimeoutError(f"another build holds {self.path}")
             time.sleep(self.poll)
+        threading.Thread(target=self._renew, daemon=True).start()
         return self
 
     def __exit__(self, *_: object) -> None:
+        self.done.set()
         drop_path(self.spark, self.path)
 
 

@@ -11,7 +11,7 @@ from codeloom.operators.encoding import EmbeddingModel
 from codeloom.operators.keyed import keep_last
 from codeloom.plans.index_build import build
 from codeloom.settings import Settings
-from codeloom.sources.tables import Table
+from codeloom.sources.tables import Scratch, Table
 
 
 def upsert_stream(
@@ -29,10 +29,11 @@ def upsert_stream(
     """
 
     def apply(batch: DataFrame, _: int) -> None:
-        newest = keep_last(batch.select(*table.schema.names), keys, *order)
-        touched = newest.select(*keys)
-        stored = table.read().join(touched, list(keys), "left_semi")
-        table.replace(touched, keep_last(stored.unionByName(newest), keys, *order))
+        with Scratch(table.spark) as scratch:
+            newest = scratch.settle(keep_last(batch.select(*table.schema.names), keys, *order), "newest")
+            touched = newest.select(*keys)
+            versions = table.rows_of(touched).unionByName(newest)
+            table.replace(touched, keep_last(versions, keys, *order))
 
     return (
         changes.writeStream.foreachBatch(apply)

@@ -40,7 +40,7 @@ def test_source_tree_sees_all_names_and_prunes(spark, place):
     root, settings, _ = place
     rows = source_tree.list_files(spark, settings.repos, ("lib",), partitions=3).collect()
     assert sorted(r.file_path for r in rows) == [
-        ".hidden/b.py", "__init__.py", "auth.py", "big.json", "data.csv", "notes.md",
+        "__init__.py", "auth.py", "big.json", "data.csv", "notes.md",
     ]
     assert {r.size for r in rows if r.file_path == "big.json"} == {2000}
 
@@ -151,6 +151,10 @@ def test_lock_is_exclusive_and_old_ones_expire(spark, tmp_path):
         with tables.IndexLock(spark, path, timeout=5, poll=0.05, expires=0.0):
             pass
     assert not os.path.exists(path)
+    with tables.IndexLock(spark, path, renew=0.05):
+        os.utime(path, (1000.0, 1000.0))
+        time.sleep(0.5)
+        assert time.time() - os.path.getmtime(path) < 60
 
 
 def test_change_kinds(spark):
