@@ -396,10 +396,9 @@ def block_sources(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     r"""
-    WITH d AS (SELECT source AS repo_id, text, doc_id FROM documents),
-    b AS (SELECT md5(text) AS id, max(n_chars::DOUBLE / 20000) AS score, min(doc_id) AS doc_id
-          FROM documents GROUP BY text)
-    SELECT id, round(score, 6) AS score, doc_id FROM b"""
+    WITH r AS (SELECT md5(text) AS id, n_chars::DOUBLE / 20000 AS score, doc_id,
+                 row_number() OVER (PARTITION BY text ORDER BY n_chars DESC, doc_id) AS n FROM documents)
+    SELECT id, round(score, 6) AS score, doc_id FROM r WHERE n = 1"""
 )
 def dedup_best(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "documents").select(
