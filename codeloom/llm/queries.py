@@ -1,7 +1,7 @@
 """The queries of all operators, by name, and their SQL counterparts."""
 
 from codeloom.llm import base
-from codeloom.llm import quality_rules, reply_trees, source_mix, winnowing  # noqa: F401
+from codeloom.llm import jaccard_join, quality_rules, reply_trees, source_mix, winnowing  # noqa: F401
 
 QUERIES = base.QUERIES
 ORACLES = base.ORACLES
