@@ -275,6 +275,36 @@ class Join:
         own = F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
         return joined.select("doc_id", "text_hash", F.col("size").alias("n_shingles"), own.alias("component_id"))
 
+    def kept(self, docs: DataFrame) -> DataFrame:
+        """The rows of ``docs`` (those joined) with one document of each component, the smallest id.
+
+        Documents without words all stay. Of rows equal in id and text one stays.
+        """
+        scratch = self.scratch
+        rows = scratch.settle("classes", self.classes())
+        key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+        wordy = rows.where(F.col("n_shingles") > 0)
+        best = wordy.groupBy(F.col("component_id").alias("of")).agg(F.min(key).alias("best"))
+        gone = (
+            wordy.join(best, F.col("component_id").eqNullSafe(F.col("of")))
+            .where(~key.eqNullSafe(F.col("best")))
+            .select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"))
+            .distinct()
+        )
+        twice = rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+        twice = twice.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"))
+        left = without(docs, scratch.settle("gone", gone))
+        twice = scratch.settle("twice", twice)
+        if twice.isEmpty():
+            return left
+        return without(left, twice).unionByName(without(left, twice, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
+def without(docs: DataFrame, rows: DataFrame, how: str = "left_anti") -> DataFrame:
+    """``docs`` less ``rows`` (d, h: id and text hash), a settled table; a short one is broadcast."""
+    few = F.broadcast(rows) if rows.count() <= BROADCAST_NODES else rows
+    return docs.join(few, F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("h")), how)
+
 
 @query()
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.functions.text import let
+from codeloom.functions.text import exploded, let
 from codeloom.llm.base import query, table, words
 
 
@@ -134,7 +134,9 @@ def judge(docs: DataFrame, rules: Sequence[Rule] = BASE_RULES + RULES, verdict:
 def keep_good(docs: DataFrame, rules: Sequence[Rule] = BASE_RULES + RULES) -> DataFrame:
     """The rows of ``docs`` that pass every rule, with their own columns."""
     held = measured(docs, [F.struct("*").alias("row")])
-    return held.where(F.size(failed_rules(rules)) == 0).select("row.*")
+    # A plain filter would be pushed below the measures, and each of its rules would compute them anew.
+    good = F.when(F.size(failed_rules(rules)) == 0, F.array(F.lit(True)))
+    return exploded(held, ["row"], good, "good").select("row.*")
 
 
 _STOP_SQL = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))

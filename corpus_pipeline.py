@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from codeloom.llm import quality_rules
+from codeloom.llm import jaccard_join, personal_data, quality_rules, source_mix, winnowing
 from codeloom.llm.base import Scratch, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -15,9 +16,36 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs.select(*COLUMNS))
 
 
-STAGES = [("quality_rules", quality)]
+def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of the Jaccard join stays."""
+    return jaccard_join.Join(docs).kept(docs.select(*COLUMNS))
 
-#: The stages that learn or search by message passing have no SQL form; see tests/llm.
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share a window with the benchmark go."""
+    return winnowing.clean(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+
+
+def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data are replaced by their kind; all documents stay, ``n_chars`` follows the text."""
+    clean = personal_data.redact(docs.select(*COLUMNS), personal_data.train(docs))
+    return clean.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), "n_chars"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes."""
+    return source_mix.mix(docs)
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("jaccard_join", duplicates),
+    ("winnowing", decontamination),
+    ("personal_data", personal),
+    ("source_mix", mixing),
+]
+
+#: Components and message passing have no SQL form; tests/llm compare the stages with brute force.
 ORACLE_SQL: str | None = None
 
 
