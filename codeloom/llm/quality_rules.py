@@ -127,16 +127,18 @@ def failed_rules(rules: Sequence[Rule], measures: str = "m") -> Column:
 
 
 def judge(docs: DataFrame, rules: Sequence[Rule] = BASE_RULES + RULES, verdict: str = "failed") -> DataFrame:
-    """All columns of ``docs`` and the array ``verdict`` of failed measures, empty for a good text."""
-    return measured(docs, [F.struct("*").alias("row")]).select("row.*", failed_rules(rules).alias(verdict))
+    """All columns of ``docs`` and the array ``verdict`` of failed measures, empty for a good text.
+
+    The verdict passes through an explode of one element: a filter on it would otherwise be pushed
+    below the measures, and each rule in it would compute them anew.
+    """
+    held = measured(docs, [F.struct("*").alias("row")])
+    return exploded(held, ["row"], F.array(failed_rules(rules)), "found").select("row.*", F.col("found").alias(verdict))
 
 
 def keep_good(docs: DataFrame, rules: Sequence[Rule] = BASE_RULES + RULES) -> DataFrame:
     """The rows of ``docs`` that pass every rule, with their own columns."""
-    held = measured(docs, [F.struct("*").alias("row")])
-    # A plain filter would be pushed below the measures, and each of its rules would compute them anew.
-    good = F.when(F.size(failed_rules(rules)) == 0, F.array(F.lit(True)))
-    return exploded(held, ["row"], good, "good").select("row.*")
+    return judge(docs, rules, "_failed").where(F.size("_failed") == 0).drop("_failed")
 
 
 _STOP_SQL = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
