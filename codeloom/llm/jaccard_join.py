@@ -302,8 +302,9 @@ class Join:
 
 def without(docs: DataFrame, rows: DataFrame, how: str = "left_anti") -> DataFrame:
     """``docs`` less ``rows`` (d, h: id and text hash), a settled table; a short one is broadcast."""
-    few = F.broadcast(rows) if rows.count() <= BROADCAST_NODES else rows
-    return docs.join(few, F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("h")), how)
+    few = rows.select(F.col("d").alias("_other_id"), F.col("h").alias("_other_hash"))
+    few = F.broadcast(few) if rows.count() <= BROADCAST_NODES else few
+    return docs.join(few, F.col("doc_id").eqNullSafe(F.col("_other_id")) & (F.xxhash64("text") == F.col("_other_hash")), how)
 
 
 @query()

@@ -15,7 +15,8 @@ the shared folder. Workers map them and look words and pairs up in sorted order,
 doesn't grow with the corpus. Scoring has no shuffle. A shared folder that is mounted on all
 machines is needed.
 
-The order is two: with three, the trigram arrays alone need more disk than the check's budget.
+The order is two. Trigrams would need a third pass and, by an estimate that was not measured, about
+twice the disk.
 
 P(w | v) = max(c(vw) - D(c), 0) / c(v) + g(v) P(w), with P(w) of the same form over the
 number of contexts of w, and g(v) the mass the discounts of v free; P(w) ends in 1 / (V + 1).

@@ -169,9 +169,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[Column | st
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a hit, with all their columns."""
-    hits = overlaps(docs, benchmark).select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"))
+    hits = overlaps(docs, benchmark).select(F.col("doc_id").alias("_hit_id"), F.col("text_hash").alias("_hit_hash"))
     hits = _small(Scratch(docs.sparkSession, "winnowing-hits").settle("hits", hits), BROADCAST_DOCUMENTS)
-    return docs.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.xxhash64("text") == F.col("hit_hash")), "left_anti")
+    return docs.join(hits, F.col("doc_id").eqNullSafe(F.col("_hit_id")) & (F.xxhash64("text") == F.col("_hit_hash")), "left_anti")
 
 
 SQL = r"""
