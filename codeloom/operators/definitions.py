@@ -76,14 +76,14 @@ HEADS = (
     (("go",), r"^func\s+(?:\([^)]+\)\s+)?(\w+)\s*\(", 1, 0, "function"),
     (
         ("java",),
-        r"(?:public|private|protected|static|\s)+[\w<>\[\]]+\s+(\w+)\s*\([^)]*\)\s*\{?",
+        r"(?:public|private|protected|static|\s)[\w<>\[\]]+\s+(\w+)\s*\([^)]*\)\s*\{?",
         1,
         0,
         "function",
     ),
     (
         ("csharp",),
-        r"(?:public|private|protected|internal|static|async|\s)+[\w<>\[\]]+\s+(\w+)"
+        r"(?:public|private|protected|internal|static|async|\s)[\w<>\[\]]+\s+(\w+)"
         r"\s*\([^)]*\)\s*\{?",
         1,
         0,

@@ -123,8 +123,7 @@ def stream_upsert(spark: SparkSession, sf: str) -> DataFrame:
     state = Table(spark, f"{place}/state", _EVENT_STATE, ["user_id"], 8)
     events = (
         spark.readStream.schema(table(spark, sf, "events").schema)
-        .option("pathGlobFilter", "events.parquet")
-        .parquet(sf)
+        .parquet(f"{sf.rstrip('/')}/{{events}}.parquet")  # a pattern, so that one file serves as well as a folder
         .select(*_EVENT_STATE.names)
     )
     upsert_stream(events, state, ["user_id"], ["ts", "event_id"], f"{place}/progress").awaitTermination()

@@ -257,7 +257,7 @@ def graph_annotation(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _snapshots(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Last event per user and type, in the first three days and from the second to the fourth."""
+    """Last event per user and type, in the first twenty days and from the tenth to the end: all events."""
     events = table(spark, sf, "events").select(
         F.col("event_type").alias("repo_id"),
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("file_path"),
@@ -269,8 +269,8 @@ def _snapshots(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     def day(text: str) -> Column:
         return F.to_timestamp_ntz(F.lit(text))
 
-    tracked = events.where(F.col("ts") < day("2024-01-04"))
-    current = events.where((F.col("ts") >= day("2024-01-02")) & (F.col("ts") < day("2024-01-05")))
+    tracked = events.where(F.col("ts") < day("2024-01-20"))
+    current = events.where(F.col("ts") >= day("2024-01-10"))
     return (
         tracked.groupBy("repo_id", "file_path").agg(seconds),
         current.groupBy("repo_id", "file_path").agg(seconds),
@@ -279,9 +279,9 @@ def _snapshots(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 _SNAPSHOTS = """
     ev AS (SELECT event_type AS repo_id, 'u' || user_id AS file_path, ts, epoch_us(ts) / 1000000 AS s FROM events),
-    tracked AS (SELECT repo_id, file_path, max(s) AS mtime FROM ev WHERE ts < TIMESTAMP '2024-01-04' GROUP BY 1, 2),
+    tracked AS (SELECT repo_id, file_path, max(s) AS mtime FROM ev WHERE ts < TIMESTAMP '2024-01-20' GROUP BY 1, 2),
     cur AS (SELECT repo_id, file_path, max(s) AS mtime FROM ev
-            WHERE ts >= TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '2024-01-05' GROUP BY 1, 2),
+            WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY 1, 2),
     diff AS (SELECT * FROM (SELECT coalesce(t.repo_id, c.repo_id) AS repo_id,
                coalesce(t.file_path, c.file_path) AS file_path,
                CASE WHEN t.mtime IS NULL THEN 'added' WHEN c.mtime IS NULL THEN 'deleted'

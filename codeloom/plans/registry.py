@@ -32,14 +32,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def spread_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A table for work that is heavy per row (parsing, pattern matching, encoding).
-
-    Rows are only shuffled when the scan has fewer splits than there are cores; a table of
-    many files keeps the splits it has.
-    """
+    """A table for work that is heavy per row (parsing, pattern matching, encoding), dealt out by its key."""
     rows = table(spark, sf, name)
-    cores = spark.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+    return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.columns[0])
 
 
 def wide_ints(df: DataFrame) -> DataFrame:

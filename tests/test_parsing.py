@@ -140,3 +140,10 @@ def test_a_grammar_replaces_line_matching(spark):
     methods, sites = definitions.extract_methods(files, grammar, ["go"])
     assert sorted(m.full_name for m in methods.collect()) == ["f", "go"]
     assert sorted(c.callee_name for c in sites.collect()) == ["g", "x"]
+
+
+def test_long_blank_lines_do_not_overflow(spark):
+    blank = "x" + " " * 100_000 + "y"
+    frame = spark.createDataFrame([("r", lang, f"/a.{lang}", blank) for lang in ("java", "csharp")], "repo_id string, language string, file_path string, content string")
+    for pattern in (head[1] for head in definitions.HEADS if {"java", "csharp"} & set(head[0])):
+        assert frame.where(F.col("content").rlike(pattern)).count() == 0

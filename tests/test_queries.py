@@ -52,3 +52,10 @@ def test_query_matches_sql(spark, duck, name):
 
 def test_entry_returns_rows(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_stream_reads_a_folder_of_part_files(spark, tmp_path):
+    events = spark.read.parquet(f"{DATA}/events.parquet")
+    events.repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    got = entry.queries()["stream_upsert"](spark, str(tmp_path)).count()
+    assert got == events.select("user_id").distinct().count()

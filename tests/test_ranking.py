@@ -48,11 +48,8 @@ def test_prompt_entries_and_reorder(spark):
         BLOCK,
     )
     entries = [r.entry for r in ranking.prompt_entries(blocks).orderBy("rank").collect()]
-    assert entries[0] == (
-        '[0] score=0.91, callers=3, callees=1, flow=Login | /r/a.py:1-2 (method, f)\n'
-        '<content chunk-index="0">\nx\ny\n</content>'
-    )
-    assert entries[1].startswith("[1] score=0.50 | /r/b.py:5-9 (block, no symbol)\n")
+    assert entries[0] == "[0] /r/a.py:1-2 method f\nscore 0.91, callers 3, callees 1, flow Login\nx\ny\n"
+    assert entries[1].startswith("[1] /r/b.py:5-9 block\nscore 0.50\n")
     moved = ranking.reorder(blocks, [1]).collect()
     assert [(r.rank, r.file_path) for r in moved] == [(1, "/r/b.py")]
     assert ranking.reorder(blocks, []).count() == 0
