@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from codeloom.llm.base import Scratch, query, table
 
 #: Documents of one source whose running sum one task adds up, on average.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 #: Sources up to this number are broadcast to their documents (one short row each).
 BROADCAST_SOURCES = 50_000
 WEIGHTS = (1, 2, 3)
