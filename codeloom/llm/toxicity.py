@@ -40,7 +40,7 @@ STEM_LETTERS, STEM_WORDS = range(4, 9), 5
 #: Shorter terms must match letter by letter.
 EDIT_LETTERS = 5
 WINDOW = 6
-MEMO_WORDS = 200_000
+MEMO_WORDS = 300_000
 
 # Marks of quotation, of report and of direct address.
 QUOTES = "\"'«»“”„‘’`"
@@ -197,10 +197,9 @@ def features(text: str, memo: dict, weights: list[float]) -> list[float]:
     """Sums of a text's matches: exact, misspelled, spoken of; and matches per hundred words."""
     words = text.lower().split()
     exact = edited = quoted = hits = 0.0
-    for at, word in enumerate(words):
-        found = memo[word]
-        if found is None:
-            continue
+    matches = [(at, found) for at, found in enumerate(map(memo.__getitem__, words)) if found]
+    for at, found in matches:
+        word = words[at]
         around = words[max(at - WINDOW, 0) : at + WINDOW + 1]
         report = word[0] in QUOTES and word[-1] in QUOTES + EDGES and len(word) > 1 or any(w in REPORT for w in map(bare, around))
         value = weights[found[0]] * (1.25 if any(w in ADDRESS for w in around) else 1.0)
