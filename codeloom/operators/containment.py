@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ANCHOR = 4
-
 
 def contains_join(
     texts: DataFrame,
@@ -17,29 +15,23 @@ def contains_join(
 ) -> DataFrame:
     """Pairs ``text_col, needle_col`` where the text contains (or starts with) the needle.
 
-    Every needle is looked up by its first ``ANCHOR`` characters: the texts offer those of
-    each of their positions, an equi-join brings the candidates together and the full needle
-    is then compared at that position. Needles shorter than the anchor are looked up by their
-    full length. Empty needles are not matched here; they would match everything.
+    The texts offer their substrings of exactly the lengths that occur among the needles, and an
+    equi-join on the whole needle finds the pairs. No candidate is built that is not a pair, so
+    needles that share a beginning make no key hot. The driver learns one number per length, of
+    which there are no more than the longest needle has characters. Empty needles are not
+    matched here; they would match everything.
     """
     t = F.col("_t")
-    distinct_texts = texts.select(F.col(text_col).alias("_t")).where(t.isNotNull()).distinct()
     length = F.length(t)
-    places = F.sequence(F.lit(1), F.when(F.lit(prefix_only), F.lit(1)).otherwise(length))
-    offers = distinct_texts.where(length > 0).select("_t", F.explode(places).alias("_at"))
-    offers = offers.select(
-        "_t",
-        "_at",
-        F.explode(F.sequence(F.lit(1), F.least(F.lit(ANCHOR), length - F.col("_at") + 1))).alias("_len"),
-    ).select("_t", "_at", F.substring(t, F.col("_at"), F.col("_len")).alias("_anchor"))
-    n = F.col("_n")
-    wanted = (
-        needles.select(F.col(needle_col).alias("_n"))
-        .where(F.length(n) > 0)
-        .distinct()
-        .withColumn("_anchor", F.substring(n, 1, ANCHOR))
-    )
-    hits = offers.join(wanted, "_anchor").where(
-        F.substring(t, F.col("_at"), F.length(n)) == n
+    wanted = needles.select(F.col(needle_col).alias("_n")).where(F.length("_n") > 0).distinct()
+    lengths = sorted(r[0] for r in wanted.select(F.length("_n")).distinct().collect())
+    if not lengths:
+        return texts.select(text_col, F.lit(None).cast("string").alias(needle_col)).where(F.lit(False))
+    distinct_texts = texts.select(F.col(text_col).alias("_t")).where(F.length(text_col) >= lengths[0]).distinct()
+    last = F.lit(1) if prefix_only else length - (lengths[0] - 1)
+    places = distinct_texts.select("_t", F.explode(F.sequence(F.lit(1), last)).alias("_at"))
+    fitting = F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= length - F.col("_at") + 1)
+    offers = places.select("_t", "_at", F.explode(fitting).alias("_len")).select(
+        "_t", F.substring(t, F.col("_at"), F.col("_len")).alias("_n")
     )
-    return hits.select(t.alias(text_col), n.alias(needle_col)).distinct()
+    return offers.join(wanted, "_n").select(t.alias(text_col), F.col("_n").alias(needle_col)).distinct()

@@ -198,7 +198,7 @@ def file_facts(files: DataFrame) -> DataFrame:
     Input ``repo_id, file_path, content, service_language``. Output ``repo_id, file_path`` and
     arrays: ``stores`` and ``queues`` (kind, name, direction), ``hosts``, ``variables``,
     ``rpc_names``, ``quoted`` (names a manifest quotes or pins), ``imported`` and ``mentioned``
-    (rests of import lines). Comments and literals are blanked once per file.
+    (rests of import lines; of a line's mentions the first, whose rest holds the later ones). Comments and literals are blanked once per file.
     """
     content = F.col("content")
 
@@ -248,7 +248,7 @@ def file_facts(files: DataFrame) -> DataFrame:
         _found(RPC_NAME, calls_out).alias("rpc_names"),
         F.array_distinct(F.concat(*quoted, pinned)).alias("quoted"),
         _found(r"(?:from|import)\s+(?=([^\n]+))", is_code).alias("imported"),
-        _found(r"(?:import|require)(?=([^\n]+))", is_code).alias("mentioned"),
+        _found(r"(?:import|require)([^\n]+)", is_code).alias("mentioned"),
     )
 
 
