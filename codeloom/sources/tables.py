@@ -12,6 +12,7 @@ import time
 import uuid
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -113,7 +114,9 @@ class IndexLock:
     """One build at a time: a lock file that only one driver can create.
 
     The holder renews the file's time while it works, however long that takes. A lock that was
-    not renewed for ``expires`` seconds belongs to a driver that died and is taken over.
+    not renewed for ``expires`` seconds belongs to a driver that died and is taken over: a waiter
+    moves it to a name of its own, which only one of several waiters can do, and tries again.
+    The file holds its owner's token; a holder whose lock was taken over leaves the new one alone.
     """
 
     def __init__(
@@ -128,18 +131,58 @@ class IndexLock:
         self.spark, self.path = spark, path
         self.timeout, self.poll, self.expires, self.renew = timeout, poll, expires, renew
         self.done = threading.Event()
+        self.token = uuid.uuid4().hex
+
+    def _create(self) -> bool:
+        """Write the lock with this owner's token, unless there is one."""
+        fs, at = _filesystem(self.spark, self.path)
+        if not fs.createNewFile(at):
+            return False
+        out = fs.create(at, True)
+        out.write(bytearray(self.token, "ascii"))
+        out.close()
+        return True
+
+    def _owner(self, path: str) -> str | None:
+        fs, at = _filesystem(self.spark, path)
+        try:
+            stream = fs.open(at)
+        except Py4JJavaError:
+            return None
+        try:
+            return bytes(stream.readAllBytes()).decode("ascii")
+        finally:
+            stream.close()
+
+    def _remove(self, owner: str | None) -> None:
+        """Move the lock of ``owner`` away; one that another driver wrote meanwhile is put back."""
+        fs, at = _filesystem(self.spark, self.path)
+        aside = f"{self.path}.{uuid.uuid4().hex}"
+        _, to = _filesystem(self.spark, aside)
+        if self._owner(self.path) != owner or not fs.rename(at, to):
+            return
+        if self._owner(aside) == owner or not fs.rename(to, at):
+            fs.delete(to, False)
 
     def _renew(self) -> None:
         fs, at = _filesystem(self.spark, self.path)
         while not self.done.wait(self.renew):
+            if self._owner(self.path) != self.token:
+                return
             fs.setTimes(at, int(time.time() * 1000), -1)
 
+    def _expired(self) -> bool:
+        try:
+            return time.time() - modified_at(self.spark, self.path) > self.expires
+        except Py4JJavaError:
+            return False
+
     def __enter__(self) -> IndexLock:
         deadline = time.monotonic() + self.timeout
-        fs, at = _filesystem(self.spark, self.path)
-        while not fs.createNewFile(at):
-            if time.time() - modified_at(self.spark, self.path) > self.expires:
-                fs.delete(at, False)
+        while not self._create():
+            owner = self._owner(self.path)
+            if owner is not None and self._expired():
+                self._remove(owner)
                 continue
             if time.monotonic() >= deadline:
                 raise TimeoutError(f"another build holds {self.path}")
@@ -149,7 +192,7 @@ class IndexLock:
 
     def __exit__(self, *_: object) -> None:
         self.done.set()
-        drop_path(self.spark, self.path)
+        self._remove(self.token)
 
 
 class Scratch:
