@@ -9,7 +9,7 @@ The forest is trained on labelled findings, a table of (feature columns, label).
 makes one where nobody has labelled any: published key formats and values assigned to a name for secrets
 are findings, all other candidates are false alarms. At most ``SAMPLE`` findings of each label are
 used, those of smallest hash; the dictionary is the ``DICTIONARY`` most frequent lower-case words
-of a sample of ``DICTIONARY_ROWS`` texts. Candidates are found in every whole text.
+of all texts. Candidates are found in every whole text and measured whole, whatever their length.
 
 Defined results: null and blank texts have no candidate; repeated rows are scanned each; with
 findings of one label only, every candidate gets that label's probability; an empty table gives
@@ -29,10 +29,8 @@ from codeloom.llm.base import Scratch, query, table
 
 MIN_LENGTH = 16
 SAMPLE = 5_000
-DICTIONARY, DICTIONARY_ROWS = 1_000, 5_000
+DICTIONARY = 1_000
 TREES, DEPTH, SEED = 20, 6, 11
-#: Characters of a candidate that are measured; its length counts in full.
-MEASURED = 256
 
 # Names that announce a secret, and formats that key issuers publish.
 SECRET_NAMES = ("token", "password", "passwd", "pwd", "secret", "key", "apikey", "api_key", "auth", "bearer", "credential")
@@ -69,11 +67,10 @@ def measured(found: DataFrame, dictionary: list[str]) -> DataFrame:
     """``found`` with the feature columns."""
     value = F.substring_index(F.regexp_replace("candidate", "^=+|=+$", ""), "=", -1)
     rows = found.withColumn("value", F.when(F.length(value) >= MIN_LENGTH, value).otherwise(F.col("candidate")))
-    rows = rows.withColumn("part", F.substring("value", 1, MEASURED))
-    size = F.char_length("part")
-    share = lambda pattern: F.regexp_count("part", F.lit(pattern)) / size
+    size = F.char_length("value")
+    share = lambda pattern: F.regexp_count("value", F.lit(pattern)) / size
     turns = r"(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[0-9])(?=[^0-9])|(?<=[_+/=-])(?=[A-Za-z0-9])"
-    letters = F.filter(F.split(F.lower("part"), "[^a-z]+"), lambda w: F.length(w) >= 3)
+    letters = F.filter(F.split(F.lower("value"), "[^a-z]+"), lambda w: F.length(w) >= 3)
     covered = F.aggregate(F.array_intersect(letters, F.lit(dictionary or [""])), F.lit(0), lambda n, w: n + F.length(w))
     names = "|".join(SECRET_NAMES)
     head = F.lower(F.concat_ws(" ", "before", F.expr("substring(word, 1, greatest(instr(word, value) - 1, 0))")))
@@ -86,7 +83,7 @@ def measured(found: DataFrame, dictionary: list[str]) -> DataFrame:
         share("[a-z]").alias("lower_share"),
         share("[_+/=-]").alias("mark_share"),
         share(turns).alias("transition_share"),
-        (F.size(F.array_distinct(F.split("part", ""))) / size).alias("distinct_share"),
+        (F.size(F.array_distinct(F.split("value", ""))) / size).alias("distinct_share"),
         (covered / size).alias("dictionary_share"),
         (F.col("word").contains("/") | F.col("word").rlike(r"\.[a-z]{2,4}$|@")).cast("double").alias("path_like"),
         head.rlike(rf"(^|[^a-z])({names})([^a-z]|$)").cast("double").alias("named_secret"),
@@ -95,9 +92,8 @@ def measured(found: DataFrame, dictionary: list[str]) -> DataFrame:
 
 
 def common_words(docs: DataFrame) -> list[str]:
-    """At most DICTIONARY words: the most frequent lower-case words of the texts of smallest id hash."""
-    some = docs.select("text").where(F.col("text").isNotNull()).orderBy(F.xxhash64("text")).limit(DICTIONARY_ROWS)
-    words = some.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), 0)).alias("w"))
+    """The DICTIONARY most frequent lower-case words of all texts, equal counts by the word."""
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), 0)).alias("w"))
     return [r["w"] for r in words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(DICTIONARY).collect()]
 
 
