@@ -296,6 +296,14 @@ def test_secret_scan(spark, hard, empty):
     assert all(r.length >= 16 for r in secret_scan.scan(hard).collect())
 
 
+def test_secret_scan_counts_all_texts_and_measures_whole_candidates(spark):
+    texts = ["common common", "common word", None, "Word"] + ["x" * 300 + "9" * 300]
+    docs = spark.createDataFrame(rows_of(*texts), SCHEMA)
+    assert secret_scan.common_words(docs) == ["common", "word", "x" * 300]
+    row = secret_scan.measured(secret_scan.candidates(docs), ["common"]).first()
+    assert (row.length, row.digit_share, row.lower_share) == (600.0, 0.5, 0.5)
+
+
 def test_automaton_equals_greedy_longest_match(spark, hard, empty):
     rng = random.Random(2)
     for _ in range(300):
