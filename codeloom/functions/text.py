@@ -76,12 +76,10 @@ def _tally(text: Column, words: tuple[str, ...]) -> Column:
     return total
 
 
-def io_direction(text: Column, position: Column) -> Column:
-    """'write' if write words outnumber read words in the window that starts at ``position``."""
-    window = F.lower(F.substring(text, position, F.lit(DIRECTION_WINDOW)))
-    return F.when(_tally(window, WRITE_WORDS) > _tally(window, READ_WORDS), "write").otherwise(
-        "read"
-    )
+def io_direction(text: Column, position: Column, window: int = DIRECTION_WINDOW) -> Column:
+    """'write' if write words outnumber read words in the ``window`` characters from ``position``."""
+    near = F.lower(F.substring(text, position, F.lit(window)))
+    return F.when(_tally(near, WRITE_WORDS) > _tally(near, READ_WORDS), "write").otherwise("read")
 
 
 def blank_code(text: Column) -> Column:
