@@ -135,6 +135,7 @@ BARE_TEST_PREFIX = ("csharp", "rust", "php", "cpp")
 
 RUBY_OPENER = r"\b(def|class|module|do|if|unless|while|until|for|case|begin)\b"
 RUBY_CLOSER = r"^\s*end\b"
+#: A body of this many lines or more is given up and counts as its head line; None sets no limit.
 BODY_LIMIT = 500
 HEAD_TO_BRACE = 4
 
@@ -388,7 +389,7 @@ def _scanned_lines(files: DataFrame) -> DataFrame:
     )
 
 
-def _bodies(scanned: DataFrame) -> DataFrame:
+def _bodies(scanned: DataFrame, body_limit: int | None) -> DataFrame:
     """Heads with class context and ``line_end``.
 
     A body that opens at depth d closes on the first later line where a closer returns to d.
@@ -441,7 +442,9 @@ def _bodies(scanned: DataFrame) -> DataFrame:
     )
     nearest = F.last("close", True).over(upward.rowsBetween(Window.unboundedPreceding, 0))
     closed = events.withColumn("nearest", nearest).where(F.col("head").isNotNull())
-    in_reach = F.col("brace_lag").isNotNull() & (F.col("nearest") < F.col("at") + BODY_LIMIT)
+    in_reach = F.col("brace_lag").isNotNull() & F.col("nearest").isNotNull()
+    if body_limit is not None:
+        in_reach = in_reach & (F.col("nearest") < F.col("at") + body_limit)
     return closed.withColumn(
         "line_end", F.when(in_reach, F.col("nearest")).otherwise(F.col("head_line"))
     )
@@ -456,9 +459,9 @@ def _legacy_id(full_name: Column) -> Column:
     return F.concat_ws("::", F.col("repo_id"), tx.base_name(F.col("file_path")), full_name)
 
 
-def scripted_methods(files: DataFrame) -> DataFrame:
+def scripted_methods(files: DataFrame, body_limit: int | None = BODY_LIMIT) -> DataFrame:
     """Methods of files matched by line, not parsed; input ``repo_id, file_path, parser, content``."""
-    heads = _bodies(_scanned_lines(files.where(F.col("parser") != "python")))
+    heads = _bodies(_scanned_lines(files.where(F.col("parser") != "python")), body_limit)
     member = F.col("head.kind") == "member"
     own_prefix = F.when(F.col("head.prefix") != "", F.col("head.prefix"))
     class_name = F.when(member, F.coalesce(own_prefix, F.col("scope")))
@@ -546,7 +549,10 @@ def with_parser(files: DataFrame) -> DataFrame:
 
 
 def extract_methods(
-    files: DataFrame, grammar: Grammar | None = None, grammar_parsers: Sequence[str] = ()
+    files: DataFrame,
+    grammar: Grammar | None = None,
+    grammar_parsers: Sequence[str] = (),
+    body_limit: int | None = BODY_LIMIT,
 ) -> tuple[DataFrame, DataFrame]:
     """Methods and call sites of all files (``repo_id, file_path, content``).
 
@@ -559,7 +565,7 @@ def extract_methods(
     by_grammar = F.col("parser").isin(list(grammar_parsers)) if grammar_parsers else F.lit(False)
     rest = known.where(~by_grammar)
     methods, calls = parsed_methods_and_calls(rest.where(F.col("parser") == "python"))
-    other = scripted_methods(rest)
+    other = scripted_methods(rest, body_limit)
     in_cpp = parser_of(F.col("file_path")) == "cpp"
     methods = methods.unionByName(other)
     calls = calls.unionByName(cpp_calls(rest, other.where(in_cpp)))

@@ -69,6 +69,8 @@ def test_long_body_is_given_up(spark):
     rows = [("s", "a.go", "func A() {\n" + "x\n" * 499 + "}\n"), ("s", "b.go", "func B() {\n" + "x\n" * 498 + "}\n")]
     methods, _ = definitions.extract_methods(spark.createDataFrame(rows, FILES))
     assert sorted((m.name, m.line_end) for m in methods.collect()) == [("A", 1), ("B", 500)]
+    methods, _ = definitions.extract_methods(spark.createDataFrame(rows, FILES), body_limit=None)
+    assert sorted((m.name, m.line_end) for m in methods.collect()) == [("A", 501), ("B", 500)]
 
 
 PYTHON = '''import x
