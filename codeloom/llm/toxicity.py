@@ -1,17 +1,21 @@
 """Toxicity by misspelling-tolerant lexicon matches, weighed by their surroundings.
 
-1. The lexicon is learned from labelled training rows: words, and stems that open many words, that
-   occur in toxic texts far more often than in others, each weighted by its log-odds.
+1. The lexicon is learned from labelled training rows: words, and stems that open many toxic words,
+   that occur in toxic texts far more often than in others, each weighted by its log-odds. A stem
+   counts without its most toxic word; a strong word is a term of its own also below a stem.
 2. Terms form a trie. The Levenshtein automaton of a word (one edit: replaced, extra, missing or
    swapped letters) is run together with the trie; the pairs of both are turned into a
    deterministic automaton state by state as words need them, so a usual word fails after a few
-   letters. Look-alike characters are read as letters.
+   letters. Stems match letter by letter. Words of clean sample rows that are only an edit away
+   from a term do not match. Look-alike characters are read as letters; punctuation at the ends of
+   a word does not count.
 3. A match counts by the words around it: quotation marks and words of report lower it, direct
    address raises it.
 4. A logistic regression over a document's sums gives the score.
 
 Labels are read for training rows only. At most ``SAMPLE`` labelled rows of each class, those of
-smallest hash, are used; the lexicon holds at most ``LEXICON`` terms. Scoring is one pass without
+smallest hash, are used; the lexicon holds at most ``LEXICON`` terms, the strongest, and at most
+``NEAR_WORDS`` clean words are known as near to a term, the most frequent. Scoring is one pass without
 a shuffle over every whole text.
 
 Defined results: a null or blank text has no match and gets the score of a text without any;
@@ -22,6 +26,7 @@ repeated rows are scored each; an empty table gives no rows. Other columns are l
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,12 +38,12 @@ from pyspark.sql import functions as F
 from codeloom.llm.base import Scratch, query, table
 
 SAMPLE = 10_000
-LEXICON = 2_000
+LEXICON, NEAR_WORDS = 2_000, 50_000
 #: A term stands in this many toxic sample rows at least, and its log-odds are at least these.
 MIN_ROWS, MIN_ODDS = 4, 3.0
 STEM_LETTERS, STEM_WORDS = range(4, 9), 5
 #: Shorter terms must match letter by letter.
-EDIT_LETTERS = 5
+EDIT_LETTERS = 4
 WINDOW = 6
 MEMO_WORDS = 300_000
 
@@ -53,8 +58,15 @@ EDGES = ".,;:!?()[]{}<>*_~-" + QUOTES
 
 
 def bare(word: str) -> str:
-    """A word in lower case without punctuation at its ends."""
-    return word.strip(EDGES)
+    """A word without punctuation and symbols at its ends."""
+    if word.isalnum():
+        return word
+    first, last = 0, len(word)
+    while first < last and unicodedata.category(word[first])[0] in "PSCZ":
+        first += 1
+    while first < last and unicodedata.category(word[last - 1])[0] in "PSCZ":
+        last -= 1
+    return word[first:last]
 
 
 class Matcher:
@@ -111,7 +123,7 @@ class Matcher:
 
     def match(self, word: str) -> tuple[int, int] | None:
         state, best = self.start, None
-        for at, letter in enumerate(word):
+        for letter in word:
             key = (state, letter)
             if key not in self.steps:
                 if len(self.steps) > 500_000:
@@ -171,8 +183,12 @@ def learn_lexicon(sample: DataFrame, n_toxic: int, n_clean: int) -> list[tuple[s
         words.select("toxic", "clean", F.explode(F.array(*(F.when(F.char_length("word") >= n, F.substring("word", 1, n)) for n in STEM_LETTERS))).alias("word"))
         .where(F.col("word").isNotNull())
         .groupBy("word")
-        .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.count("*").alias("words"))
+        .agg(
+            F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.count(F.when(odds > 0, 1)).alias("words"),
+            F.max(F.struct("toxic", (-F.col("clean")).alias("less"))).alias("top"),
+        )
         .where(F.col("words") >= STEM_WORDS)
+        .select("word", (F.col("toxic") - F.col("top.toxic")).alias("toxic"), (F.col("clean") + F.col("top.less")).alias("clean"))
     )
 
     def best(rows: DataFrame) -> list:
@@ -183,14 +199,14 @@ def learn_lexicon(sample: DataFrame, n_toxic: int, n_clean: int) -> list[tuple[s
     longer = Counter()
     for stem, row in support.items():
         longer[stem[:-1]] = max(longer[stem[:-1]], row["toxic"])
-    kept: dict[str, float] = {}
+    kept: list[str] = []
     for stem in sorted(support, key=len):
         branches = longer[stem] < 0.9 * support[stem]["toxic"]
         if branches and not any(stem.startswith(k) for k in kept):
-            kept[stem] = support[stem]["odds"]
-    terms = [(stem, True, weight) for stem, weight in kept.items()]
-    terms += [(r["word"], False, r["odds"]) for r in best(words) if not any(r["word"].startswith(k) for k in kept)]
-    return terms[:LEXICON]
+            kept.append(stem)
+    found = [(row, False) for row in best(words)] + [(support[stem], True) for stem in kept]
+    found.sort(key=lambda f: (-f[0]["odds"] * math.sqrt(f[0]["toxic"]), f[0]["word"], f[1]))
+    return [(row["word"], stem, row["odds"]) for row, stem in found[:LEXICON]]
 
 
 def features(text: str, memo: dict, weights: list[float]) -> list[float]:
@@ -223,8 +239,9 @@ class _Memo(dict):
             self.clear()
         plain = bare(word)[:60]
         found = self.matcher.match(plain)
-        if found is None and not plain.isalpha():
-            found = self.matcher.match(plain.translate(LOOK_ALIKES))
+        if found is None and not word.isalpha():
+            read = (w.translate(LOOK_ALIKES) for w in dict.fromkeys((plain, word.strip(EDGES)[:60])) if not w.isalpha())
+            found = next(filter(None, map(self.matcher.match, read)), None)
             found = found and (found[0], 1)
         if found and found[1] and plain in self.harmless:
             found = None
@@ -298,7 +315,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Toxicity:
 
 
 def _near_words(clean: DataFrame, terms: list[tuple[str, bool, float]]) -> list[str]:
-    """Words of clean sample rows that match a term only with an edit; the most frequent LEXICON of them."""
+    """Words of clean sample rows that match a term only with an edit; the most frequent NEAR_WORDS of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, near = _Memo(terms, frozenset()), Counter()
@@ -308,7 +325,7 @@ def _near_words(clean: DataFrame, terms: list[tuple[str, bool, float]]) -> list[
         yield pa.RecordBatch.from_arrays([pa.array(list(near), pa.string()), pa.array(list(near.values()), pa.int64())], ["word", "n"])
 
     found = clean.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in found.orderBy(F.desc("n"), "word").limit(LEXICON).collect()]
+    return [r["word"] for r in found.orderBy(F.desc("n"), "word").limit(NEAR_WORDS).collect()]
 
 
 @query()

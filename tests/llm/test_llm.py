@@ -360,6 +360,28 @@ def test_toxicity_learns_and_tells_quotes(spark, hard, empty):
     assert toxicity.train(empty, labels).measured(empty, "doc_id").collect() == []
 
 
+def test_toxicity_misspellings_below_a_stem(spark):
+    rng = random.Random(9)
+    plain = lambda: " ".join(rng.choice(("river", "stone", "light", "quiet", "market")) for _ in range(30))
+    forms = ("grumser", "grumser###", "grumser&&&", "grumsers", "grumsely", "grumseish", "grumsedom", "grumseling")
+    texts = [plain() + (f" {forms[i // 4 % 8]} snag" if i % 4 == 0 else " snug" if i % 4 == 1 else "") for i in range(400)]
+    sample = spark.createDataFrame([(t, int(i % 4 == 0)) for i, t in enumerate(texts)], "text string, toxic int")
+    terms = toxicity.learn_lexicon(sample, 100, 300)
+    assert any(stem and "grumser".startswith(term) for term, stem, _ in terms)
+    words_ = [term for term, stem, _ in terms if not stem]
+    assert "grumser" in words_ and "grumser###" not in words_
+    memo = toxicity._Memo(terms, frozenset(toxicity._near_words(sample.where("toxic = 0"), terms)))
+    for word in ("rgumser", "gurmser", "gumser", "grrumser", "grumser&&", "snga", "snaag"):
+        assert terms[memo[word][0]][0] in ("grumser", "snag") and memo[word][1] == (word != "grumser&&")
+    assert memo["snug"] is None and memo["river"] is None
+
+
+def test_junk_endings_make_no_stem(spark):
+    texts = [f"loser{end} here" for end in ("", "###", "&&&", "$$$", "!!", "***")] * 6 + [f"lose{end} there" for end in ("s", "sra", "sda", "nso", "rta")] + ["plain words"] * 60
+    sample = spark.createDataFrame([(t, int(t.startswith("loser") and "here" in t and "there" not in t)) for t in texts], "text string, toxic int")
+    assert {(term, stem) for term, stem, _ in toxicity.learn_lexicon(sample, 36, 65)} == {("loser", False), ("here", False)}
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
