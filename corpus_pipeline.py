@@ -9,6 +9,8 @@ from codeloom.llm import jaccard_join, personal_data, quality_rules, source_mix,
 from codeloom.llm.base import Scratch, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Near copies share this much of their shingles; op7's own query has a contract of its own.
+SHINGLE_WORDS, SHINGLE_PERCENT = 5, 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,8 +19,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of the Jaccard join stays."""
-    return jaccard_join.Join(docs).kept(docs.select(*COLUMNS))
+    """One document of each component of the Jaccard join stays; five-word shingles, 0.8 or more."""
+    return jaccard_join.Join(docs, n=SHINGLE_WORDS, percent=SHINGLE_PERCENT).kept(docs.select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

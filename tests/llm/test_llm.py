@@ -382,6 +382,34 @@ def test_junk_endings_make_no_stem(spark):
     assert {(term, stem) for term, stem, _ in toxicity.learn_lexicon(sample, 36, 65)} == {("loser", False), ("here", False)}
 
 
+def test_pipeline_joins_near_copies_by_five_words(spark):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    texts = ["one two three four", "one two three", "one two three four", "a b c d e", "a b c d f"]
+    for size in (30, 60, 200, 200):
+        origin = [f"w{rng.randrange(100_000)}" for _ in range(size)]
+        texts.append(" ".join(origin))
+        for edits_ in (1, 2, 4, 5, 6, 9):
+            copy = list(origin)
+            for at in range(edits_):
+                copy[(2 * at + 1) * size // (2 * edits_)] = f"new{rng.randrange(100_000)}"
+            texts.append(" ".join(copy))
+    sets = []
+    for w in map(str.split, texts):
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)})
+    least = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((least[i], least[j]))
+                least = [a if x == b else x for x in least]
+    docs = spark.createDataFrame(rows_of(*texts), SCHEMA)
+    got = corpus_pipeline.duplicates(spark, docs, DATA).collect()
+    assert sorted(r.doc_id for r in got) == sorted(set(least))
+    assert least[22] == 19
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
