@@ -51,7 +51,7 @@ def words(text, lower=True):
 def test_queries_return_a_row_per_document(spark, name):
     got = queries.QUERIES[name](spark, DATA)
     n = got.count()
-    if name not in ("op5_secret_scan", "op9_reply_trees"):
+    if name not in ("op5_secret_scan", "op9_reply_trees", "op11_spelling_variants", "op13_url_filter"):
         assert n == base.table(spark, DATA, "documents").count()
     assert n > 0
 
