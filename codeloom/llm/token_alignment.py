@@ -22,10 +22,14 @@ repeated rows count as documents of their own; an empty table gives no rows. Oth
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
+from array import array
 from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,9 +44,12 @@ from codeloom.llm.token_counts import byte_letters
 
 BYTE_LEVEL = "/opt/tokenizers/byte_bpe_50k.json"
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
-#: Windows a worker remembers before it starts anew, and the most ids of one that it remembers.
-MEMO_WINDOWS = 100_000
-MEMO_IDS = 64
+#: Fixed value: the pattern by which byte-level vocabularies of this kind cut texts before merging.
+BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_FAR_LETTERS = re.compile("[\u0250-\U0010ffff]")
+#: Links of remembered windows with which a worker starts anew.
+MEMO_LINKS = 3_000_000
+_OF_B = 1 << 30
 #: Texts and characters tokenised at a time; a longer text is a piece of its own.
 PIECE_TEXTS, PIECE_CHARS = 64, 500_000
 PAIRS_A_FILE = 4_000_000
@@ -59,145 +66,225 @@ class Vocabulary:
     marked: np.ndarray = field(init=False)
 
     def __post_init__(self):
-        self.lengths = np.array([len(e) for e in self.entries], np.int64)
+        self.sizes = [len(e) for e in self.entries]
+        self.names = [str(i) for i in range(len(self.entries))]
+        self.lengths = np.array(self.sizes, np.int64)
         self.marked = np.array([e.startswith(b" ") for e in self.entries])
+        self.flat = np.frombuffer(b"".join(self.entries), np.uint8)
+        self.at = np.cumsum(self.lengths) - self.lengths
 
-    def bytes_of(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.entries.__getitem__, ids))
+    def bytes_of(self, ids: np.ndarray) -> np.ndarray:
+        return self.flat[ragged(self.at[ids], self.lengths[ids])]
+
+
+def ragged(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places first, first + 1, ... of each run, one run after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(first - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class Tokenizers:
-    """Tokenizer A (byte-level BPE) and B (pieces with byte fallback), loaded once a task."""
+    """Tokenizer A (byte-level BPE) and B (pieces with byte fallback), loaded once a task.
+
+    A plain byte-level vocabulary numbers its entries in the order of their merges, so they are
+    ranks, and the faster library that takes ranks gives the same ids. It is used for texts of
+    letters below U+0250, of which both know the same classes; others go to A's own library.
+    """
 
     def __init__(self, path_a: str, path_b: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path_a)
-        self.tokenizer.encode_special_tokens = True
+        with open(path_a, encoding="utf-8") as file:
+            spec = json.load(file)
+        added = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
+        letters, by_id = byte_letters(), {i: t for t, i in (spec["model"]["vocab"] | added).items()}
+        entries = [bytes(letters[c] for c in by_id.get(i, "") if c in letters) for i in range(max(by_id) + 1)]
+        self.a, self.path, self._own, self._ranked = Vocabulary(entries), path_a, None, None
+        cut = spec.get("pre_tokenizer") or {}
+        if cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space") and not spec.get("normalizer"):
+            ranks = {entries[i]: i for t, i in spec["model"]["vocab"].items() if t not in added}
+            self._ranked = tiktoken.Encoding("ranked", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.pieces = SentencePieceProcessor(model_file=path_b)
-        letters = byte_letters()
-        by_id = {i: token for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
-        self.a = Vocabulary([bytes(letters[c] for c in by_id.get(i, "") if c in letters) for i in range(max(by_id) + 1)])
         pieces = [self.pieces.id_to_piece(i) for i in range(self.pieces.vocab_size())]
         self.b = Vocabulary(
             [bytes([int(p[3:5], 16)]) if self.pieces.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         )
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        """Ids of A and B of each text; both empty where one of them doesn't spell the text."""
-        first = self.tokenizer.encode_batch([" " + t for t in texts], add_special_tokens=False)
-        for text, one, b in zip(texts, first, self.pieces.encode(texts, num_threads=1)):
-            a, whole = one.ids, b" " + text.encode()
-            if text and self.a.bytes_of(a) == whole and self.b.bytes_of(b) == whole:
-                yield a, b
-            else:
-                yield [], []
-
-
-def anchors(a: np.ndarray, b: np.ndarray, of: Tokenizers) -> tuple[list[int], list[int]]:
-    """Places of A and B ids at which windows begin, each with its end appended."""
-    starts_a = np.cumsum(of.a.lengths[a]) - of.a.lengths[a]
-    starts_b = np.cumsum(of.b.lengths[b]) - of.b.lengths[b]
-    shared = np.intersect1d(starts_a[of.a.marked[a]], starts_b[of.b.marked[b]], assume_unique=True)
-    shared = shared[shared > 0]
-    cut = lambda starts: [0, *np.searchsorted(starts, shared).tolist(), len(starts)]
-    return cut(starts_a), cut(starts_b)
+    @property
+    def tokenizer(self):
+        """A as its own library reads it."""
+        if self._own is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            self._own = Tokenizer.from_file(self.path)
+            self._own.encode_special_tokens = True
+        return self._own
+
+    def encode_a(self, text: str) -> list[int]:
+        if self._ranked is not None and not _FAR_LETTERS.search(text):
+            return self._ranked.encode_ordinary(text)
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def encode(self, texts: list[str]) -> Encoded:
+        """Ids of A and B of the texts; of those that one of them doesn't spell, none."""
+        a, b = [self.encode_a(" " + t) if t else [] for t in texts], self.pieces.encode(texts, num_threads=1)
+        raw = [b" " + t.encode() if t else b"" for t in texts]
+        size = np.array([len(r) for r in raw])
+        n_a, n_b = (np.array([len(x) for x in ids]) for ids in (a, b))
+        a, b = (np.fromiter(chain.from_iterable(ids), np.int64) for ids in (a, b))
+        right = size > 0
+        for ids, n, of in ((a, n_a, self.a), (b, n_b, self.b)):
+            right &= np.bincount(np.repeat(np.arange(len(n)), n), of.lengths[ids], len(n)) == size
+        for ids, n, of in ((a, n_a, self.a), (b, n_b, self.b)):
+            spelled = of.bytes_of(ids[np.repeat(right, n)])
+            wrong = np.flatnonzero(spelled != np.frombuffer(b"".join(r for r, ok in zip(raw, right) if ok), np.uint8))
+            which = np.flatnonzero(right)
+            right[which[np.searchsorted(np.cumsum(size[which]), wrong, "right")]] = False
+        a, b = a[np.repeat(right, n_a)], b[np.repeat(right, n_b)]
+        return Encoded(a, b, np.where(right, n_a, 0), np.where(right, n_b, 0), np.where(right, size, 0))
 
 
 @dataclass
-class Aligned:
-    """A window's groups as text, their number, and the id pair of each link as A << 32 | B."""
+class Encoded:
+    """Ids of several texts one after the other, and each text's numbers of ids and bytes."""
+
+    a: np.ndarray
+    b: np.ndarray
+    n_a: np.ndarray
+    n_b: np.ndarray
+    size: np.ndarray
 
-    text: str
-    groups: int
-    links: np.ndarray
 
+def anchors(texts: Encoded, of: Tokenizers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes at which windows begin, and the places of A and B ids there, each with the end appended.
 
-def align(a: list[int], b: list[int], of: Tokenizers) -> Aligned:
-    """One walk over both windows' ends."""
+    Every spelled text begins with a space, so each begins a window.
+    """
+    starts_a = np.cumsum(of.a.lengths[texts.a]) - of.a.lengths[texts.a]
+    starts_b = np.cumsum(of.b.lengths[texts.b]) - of.b.lengths[texts.b]
+    shared = np.intersect1d(starts_a[of.a.marked[texts.a]], starts_b[of.b.marked[texts.b]], assume_unique=True)
+    cut = lambda starts: np.append(np.searchsorted(starts, shared), len(starts))
+    return shared, cut(starts_a), cut(starts_b)
+
+
+def align(a: list[int], b: list[int], of: Tokenizers) -> tuple[str, int, list[int]]:
+    """A window's groups as text, their number, and its links as A << 32 | B: one walk over both windows' ends."""
+    say_a, say_b = of.a.names, of.b.names
+    if len(a) == 1 or len(b) == 1:  # one group, in which all overlap
+        text = f"{','.join([say_a[i] for i in a])}|{','.join([say_b[i] for i in b])}"
+        return text, 1, [i << 32 | j for i in a for j in b]
     groups, links = [], []
     i = j = first_i = first_j = 0
-    end_a, end_b = int(of.a.lengths[a[0]]), int(of.b.lengths[b[0]])
+    size_a, size_b = of.a.sizes, of.b.sizes
+    end_a, end_b = size_a[a[0]], size_b[b[0]]
     while True:
         links.append(a[i] << 32 | b[j])
         if end_a == end_b:
-            groups.append(f"{','.join(map(str, a[first_i : i + 1]))}|{','.join(map(str, b[first_j : j + 1]))}")
             i, j = i + 1, j + 1
+            groups.append(f"{','.join([say_a[x] for x in a[first_i:i]])}|{','.join([say_b[x] for x in b[first_j:j]])}")
             first_i, first_j = i, j
             if i == len(a):
-                return Aligned(";".join(groups), len(groups), np.array(links, np.int64))
-            end_a, end_b = end_a + int(of.a.lengths[a[i]]), end_b + int(of.b.lengths[b[j]])
+                return ";".join(groups), len(groups), links
+            end_a, end_b = end_a + size_a[a[i]], end_b + size_b[b[j]]
         elif end_a < end_b:
             i += 1
-            end_a += int(of.a.lengths[a[i]])
+            end_a += size_a[a[i]]
         else:
             j += 1
-            end_b += int(of.b.lengths[b[j]])
+            end_b += size_b[b[j]]
 
 
 class Memo:
-    """Alignments of the windows a worker has met, by their ids."""
+    """Alignments of the windows a worker has met, numbered, by their ids."""
 
     def __init__(self, of: Tokenizers):
-        self.of, self.known = of, {}
-
-    def windows(self, a: list[int], b: list[int]) -> list[Aligned]:
-        """The alignments of a text's windows, in order."""
-        if not a:
-            return []
-        if len(self.known) > MEMO_WINDOWS:
-            self.known.clear()
-        known, out = self.known, []
-        cuts_a, cuts_b = anchors(np.array(a, np.int64), np.array(b, np.int64), self.of)
-        i = j = 0
-        for next_i, next_j in zip(cuts_a[1:], cuts_b[1:]):
-            key = (tuple(a[i:next_i]), tuple(b[j:next_j]))
-            found = known.get(key)
-            if found is None:
-                found = align(a[i:next_i], b[j:next_j], self.of)
-                if len(key[0]) + len(key[1]) <= MEMO_IDS:
-                    known[key] = found
-            out.append(found)
-            i, j = next_i, next_j
-        return out
+        self.of = of
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.texts: list[str] = []
+        self.groups, self.links, self.bounds = array("q"), array("q"), array("q", [0])
+
+    def _add(self, key: bytes, n_a: int) -> int:
+        if key not in self.known:
+            ids = memoryview(key).cast("i").tolist()
+            text, groups, links = align(ids[:n_a], [i & ~_OF_B for i in ids[n_a:]], self.of)
+            self.known[key] = len(self.texts)
+            self.texts.append(text)
+            self.groups.append(groups)
+            self.links.extend(links)
+            self.bounds.append(len(self.links))
+        return self.known[key]
+
+    def windows(self, texts: Encoded, begin_a: np.ndarray, begin_b: np.ndarray) -> list[int]:
+        """The numbers of all windows in order. A key is the window's A ids and then its B ids, marked."""
+        if len(self.links) > MEMO_LINKS:
+            self._clear()
+        n_a, n_b = np.diff(begin_a), np.diff(begin_b)
+        ids = np.empty(len(texts.a) + len(texts.b), np.int32)
+        ids[np.arange(len(texts.a)) + np.repeat(begin_b[:-1], n_a)] = texts.a
+        ids[np.arange(len(texts.b)) + np.repeat(begin_a[1:], n_b)] = texts.b | _OF_B
+        raw, bounds = ids.tobytes(), ((begin_a + begin_b) * 4).tolist()
+        keys = [raw[x:y] for x, y in zip(bounds, bounds[1:])]
+        numbers = list(map(self.known.get, keys))
+        for w in [w for w, number in enumerate(numbers) if number is None]:
+            numbers[w] = self._add(keys[w], int(n_a[w]))
+        return numbers
 
 
 FIGURES = ("n_a", "n_b", "n_groups", "n_links")
 
 
-def _aligned(path_a: str, path_b: str):
-    def pieces(texts: list[str]) -> Iterator[list[str]]:
-        held, size = [], 0
-        for text in texts:
-            if held and (len(held) == PIECE_TEXTS or size + len(text) > PIECE_CHARS):
-                yield held
-                held, size = [], 0
-            held.append(text)
-            size += len(text)
-        if held:
+def aligned_piece(texts: list[str], memo: Memo) -> list[pa.Array]:
+    """Columns FIGURES, groups_sha256, pairs and times of some texts."""
+    of = memo.of.encode(texts)
+    begins, begin_a, begin_b = anchors(of, memo.of)
+    windows = memo.windows(of, begin_a, begin_b)
+    number = np.array(windows, np.int64)
+    ends = np.cumsum(of.size)
+    last = np.searchsorted(begins, ends)
+    first = np.append(0, last[:-1])
+    bounds = np.frombuffer(memo.bounds, np.int64)
+    n_links = bounds[number + 1] - bounds[number]
+    links = np.frombuffer(memo.links, np.int64)[ragged(bounds[number], n_links)] if len(number) else np.zeros(0, np.int64)
+    links_to = np.append(0, np.cumsum(n_links))
+    groups_to = np.append(0, np.cumsum(np.frombuffer(memo.groups, np.int64)[number])) if len(number) else np.zeros(1, np.int64)
+    del bounds  # the arrays grow again
+    pairs, times, digests = [], [], []
+    for low, high in zip(first.tolist(), last.tolist()):
+        own, n = np.unique(links[links_to[low] : links_to[high]], return_counts=True)
+        pairs.append(own)
+        times.append(n)
+        digests.append(hashlib.sha256(";".join([memo.texts[w] for w in windows[low:high]]).encode()).hexdigest() if high > low else "")
+    offsets = pa.array(np.append(0, np.cumsum([len(p) for p in pairs])), pa.int32())
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x), pa.int64())) for x in (pairs, times)]
+    figures = (of.n_a, of.n_b, groups_to[last] - groups_to[first], links_to[last] - links_to[first])
+    return [*(pa.array(f, pa.int64()) for f in figures), pa.array(digests, pa.string()), *lists]
+
+
+def _pieces(texts: list[str]) -> Iterator[list[str]]:
+    held, size = [], 0
+    for text in texts:
+        if held and (len(held) == PIECE_TEXTS or size + len(text) > PIECE_CHARS):
             yield held
+            held, size = [], 0
+        held.append(text)
+        size += len(text)
+    if held:
+        yield held
 
-    def told(a: list[int], b: list[int], windows: list[Aligned]) -> tuple:
-        if not windows:
-            return 0, 0, 0, 0, "", [], []
-        links, times = np.unique(np.concatenate([w.links for w in windows]), return_counts=True)
-        digest = hashlib.sha256(";".join([w.text for w in windows]).encode()).hexdigest()
-        return len(a), len(b), sum(w.groups for w in windows), int(times.sum()), digest, links, times
 
+def _aligned(path_a: str, path_b: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = Tokenizers(path_a, path_b)
-        memo = Memo(of)
+        memo = Memo(Tokenizers(path_a, path_b))
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
             done = 0
-            for piece in pieces(texts):
-                rows = list(zip(*(told(a, b, memo.windows(a, b)) for a, b in of.encode(piece))))
-                figures = [pa.array(x, pa.int64()) for x in rows[:4]]
-                lists = [pa.array(rows[5], pa.list_(pa.int64())), pa.array(rows[6], pa.list_(pa.int64()))]
+            for piece in _pieces([t or "" for t in batch.column("text").to_pylist()]):
                 ids = batch.column("doc_id").slice(done, len(piece))
-                yield pa.RecordBatch.from_arrays([ids, *figures, pa.array(rows[4]), *lists], ["doc_id", *FIGURES, "groups_sha256", "pairs", "times"])
+                yield pa.RecordBatch.from_arrays([ids, *aligned_piece(piece, memo)], ["doc_id", *FIGURES, "groups_sha256", "pairs", "times"])
                 done += len(piece)
 
     return run

@@ -2,6 +2,7 @@
 
 import functools
 import hashlib
+import random
 from collections import Counter
 
 import pandas as pd
@@ -44,7 +45,7 @@ def expected(rows):
         a = of.tokenizer.encode(" " + (text or ""), add_special_tokens=False).ids
         b = of.pieces.encode(text or "")
         whole = b" " + (text or "").encode()
-        if not text or of.a.bytes_of(a) != whole or of.b.bytes_of(b) != whole:
+        if not text or b"".join(of.a.entries[i] for i in a) != whole or b"".join(of.b.entries[i] for i in b) != whole:
             docs.append((doc_id, [], [], [], ""))
             continue
         a, b = spans(a, of.a), spans(b, of.b)
@@ -82,7 +83,7 @@ def test_query_equals_brute_force(spark):
 
 @pytest.mark.parametrize("memo", [100_000, 0])
 def test_hard_texts(spark, monkeypatch, memo):
-    monkeypatch.setattr(ta, "MEMO_WINDOWS", memo)
+    monkeypatch.setattr(ta, "MEMO_LINKS", memo)
     texts = [
         None, "", " ", "   two  spaces ", "\n\n\tdef f(x):\n    return  x\n", "x", "naïve café 漢字漢字 \U0001f600\U0001f469‍\U0001f680 é",
         "<|endoftext|> <s> </s> <unk> <0x0A> [INST]", "with ▁ mark", "w" * 3000, "ab " * 900, " nbsp　wide sep\x00nul", "ﬁ ligature ① ½ Å",
@@ -95,12 +96,19 @@ def test_hard_texts(spark, monkeypatch, memo):
 
 
 def test_windows_are_cut_at_anchors_and_remembered():
-    of = tokenizers()
-    memo = ta.Memo(of)
-    (a, b), = of.encode(["the cat and the cat and the dog"])
-    windows = memo.windows(a, b)
-    assert len(windows) == 8 and windows[1] is windows[4] and len(memo.known) == 4
-    assert sum(w.groups for w in windows) >= 8
+    memo = ta.Memo(tokenizers())
+    of = memo.of.encode(["the cat and the cat and the dog", "", "the dog"])
+    windows = memo.windows(of, *ta.anchors(of, memo.of)[1:])
+    assert len(windows) == 10 and windows[1] == windows[4] and windows[8:] == [windows[0], windows[7]] and len(memo.known) == 4
+    memo.windows(of, *ta.anchors(of, memo.of)[1:])
+    assert len(memo.known) == len(memo.texts) == 4
+
+
+def test_ranks_give_the_ids_of_the_tokenizers_own_library():
+    of, rng = tokenizers(), random.Random(2)
+    near, some = [chr(c) for c in range(1, 0x250)], "ab cd'st  \n\t 12.,!\r\x85\xa0ÀéßŁ"
+    texts = ["".join(rng.choice(near if k % 2 else some) for _ in range(rng.randrange(80))) for k in range(4000)]
+    assert [of.encode_a(t) for t in texts] == [e.ids for e in of.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_pairs_in_many_files(spark, monkeypatch):
