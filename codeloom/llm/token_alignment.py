@@ -66,9 +66,8 @@ class Vocabulary:
     marked: np.ndarray = field(init=False)
 
     def __post_init__(self):
-        self.sizes = [len(e) for e in self.entries]
-        self.names = [str(i) for i in range(len(self.entries))]
-        self.lengths = np.array(self.sizes, np.int64)
+        self.lengths = np.array([len(e) for e in self.entries], np.int64)
+        self.said = {mark: np.array([f"{i}{mark}" for i in range(len(self.entries))], object) for mark in ",|;\n"}
         self.marked = np.array([e.startswith(b" ") for e in self.entries])
         self.flat = np.frombuffer(b"".join(self.entries), np.uint8)
         self.at = np.cumsum(self.lengths) - self.lengths
@@ -169,31 +168,28 @@ def anchors(texts: Encoded, of: Tokenizers) -> tuple[np.ndarray, np.ndarray, np.
     return shared, cut(starts_a), cut(starts_b)
 
 
-def align(a: list[int], b: list[int], of: Tokenizers) -> tuple[str, int, list[int]]:
-    """A window's groups as text, their number, and its links as A << 32 | B: one walk over both windows' ends."""
-    say_a, say_b = of.a.names, of.b.names
-    if len(a) == 1 or len(b) == 1:  # one group, in which all overlap
-        text = f"{','.join([say_a[i] for i in a])}|{','.join([say_b[i] for i in b])}"
-        return text, 1, [i << 32 | j for i in a for j in b]
-    groups, links = [], []
-    i = j = first_i = first_j = 0
-    size_a, size_b = of.a.sizes, of.b.sizes
-    end_a, end_b = size_a[a[0]], size_b[b[0]]
-    while True:
-        links.append(a[i] << 32 | b[j])
-        if end_a == end_b:
-            i, j = i + 1, j + 1
-            groups.append(f"{','.join([say_a[x] for x in a[first_i:i]])}|{','.join([say_b[x] for x in b[first_j:j]])}")
-            first_i, first_j = i, j
-            if i == len(a):
-                return ";".join(groups), len(groups), links
-            end_a, end_b = end_a + size_a[a[i]], end_b + size_b[b[j]]
-        elif end_a < end_b:
-            i += 1
-            end_a += size_a[a[i]]
-        else:
-            j += 1
-            end_b += size_b[b[j]]
+def align(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, of: Tokenizers) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Several windows at once, one after the other in ``a`` and ``b``; n_a: the A ids of each.
+
+    Per window its groups as text, their number, its links as A << 32 | B, and the number of those.
+    """
+    ends_a, ends_b = np.cumsum(of.a.lengths[a]), np.cumsum(of.b.lengths[b])
+    window_ends = ends_a[np.cumsum(n_a) - 1]
+    both = np.union1d(ends_a, ends_b)  # each piece between two ends lies in one A and one B token
+    links = a[np.searchsorted(ends_a, both)] << 32 | b[np.searchsorted(ends_b, both)]
+    shared = np.intersect1d(ends_a, ends_b, assume_unique=True)
+    group_a, group_b = np.searchsorted(shared, ends_a), np.searchsorted(shared, ends_b)
+    last_a, last_b = np.searchsorted(ends_a, shared), np.searchsorted(ends_b, shared)
+    window_last = np.searchsorted(shared, window_ends)
+    said = np.empty(len(a) + len(b), object)
+    at_a = np.arange(len(a)) + np.append(0, last_b + 1)[group_a]
+    at_b = np.arange(len(b)) + last_a[group_b] + 1
+    said[at_a], said[at_b] = of.a.said[","][a], of.b.said[","][b]
+    said[at_a[last_a]], said[at_b[last_b]] = of.a.said["|"][a[last_a]], of.b.said[";"][b[last_b]]
+    ends = last_b[window_last]
+    said[at_b[ends]] = of.b.said["\n"][b[ends]]
+    count = lambda all_ends: np.diff(np.searchsorted(all_ends, window_ends, "right"), prepend=0)
+    return "".join(said.tolist()).split("\n")[:-1], count(shared), links, count(both)
 
 
 class Memo:
@@ -208,17 +204,6 @@ class Memo:
         self.texts: list[str] = []
         self.groups, self.links, self.bounds = array("q"), array("q"), array("q", [0])
 
-    def _add(self, key: bytes, n_a: int) -> int:
-        if key not in self.known:
-            ids = memoryview(key).cast("i").tolist()
-            text, groups, links = align(ids[:n_a], [i & ~_OF_B for i in ids[n_a:]], self.of)
-            self.known[key] = len(self.texts)
-            self.texts.append(text)
-            self.groups.append(groups)
-            self.links.extend(links)
-            self.bounds.append(len(self.links))
-        return self.known[key]
-
     def windows(self, texts: Encoded, begin_a: np.ndarray, begin_b: np.ndarray) -> list[int]:
         """The numbers of all windows in order. A key is the window's A ids and then its B ids, marked."""
         if len(self.links) > MEMO_LINKS:
@@ -229,10 +214,17 @@ class Memo:
         ids[np.arange(len(texts.b)) + np.repeat(begin_a[1:], n_b)] = texts.b | _OF_B
         raw, bounds = ids.tobytes(), ((begin_a + begin_b) * 4).tolist()
         keys = [raw[x:y] for x, y in zip(bounds, bounds[1:])]
-        numbers = list(map(self.known.get, keys))
-        for w in [w for w, number in enumerate(numbers) if number is None]:
-            numbers[w] = self._add(keys[w], int(n_a[w]))
-        return numbers
+        new = {key: w for w, key in enumerate(keys) if key not in self.known}
+        if new:
+            at = np.fromiter(new.values(), np.int64)
+            a, b = texts.a[ragged(begin_a[at], n_a[at])], texts.b[ragged(begin_b[at], n_b[at])]
+            said, groups, links, n_links = align(a, b, n_a[at], self.of)
+            self.known.update(zip(new, range(len(self.texts), len(self.texts) + len(new))))
+            self.texts.extend(said)
+            self.groups.frombytes(groups.astype(np.int64).tobytes())
+            self.links.frombytes(links.tobytes())
+            self.bounds.frombytes((self.bounds[-1] + np.cumsum(n_links)).astype(np.int64).tobytes())
+        return list(map(self.known.__getitem__, keys))
 
 
 FIGURES = ("n_a", "n_b", "n_groups", "n_links")
