@@ -197,7 +197,7 @@ def tokens_of(pages: DataFrame, docs: DataFrame, rules: Sequence[tuple[str, str,
     rows = scratch.settle("pages", parts(pages))
     hosts = scratch.settle("hosts", rows.groupBy("host").agg(F.count("*").alias("pages")))
     marked = hosts.select("host", F.posexplode(host_labels(F.col("host"), skipped)).alias("place", "label"))
-    split = segmented(marked.select("label").distinct(), word_counts(docs))
+    split = segmented(marked.select("label").distinct(), scratch.settle("counts", word_counts(docs)))
     named = marked.join(split, "label").groupBy("host").agg(F.sort_array(F.collect_list(F.struct("place", "words"))).alias("w"))
     named = named.select("host", F.flatten(F.col("w.words")).alias("words"))
     named = scratch.settle("named", hosts.join(named, "host", "left").select("host", "pages", F.coalesce("words", F.array().cast("array<string>")).alias("words")))
