@@ -7,9 +7,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from codeloom.functions import text as tx
-from codeloom.operators.containment import contains_join
+from codeloom.operators.containment import containing, contains_join
 
 Settle = Callable[[DataFrame, str], DataFrame]
 FILE_KEY = ("repo_id", "file_path")
@@ -290,8 +291,8 @@ def url_edges(facts: DataFrame, services: DataFrame) -> DataFrame:
         "host_slug", slug(F.col("host"))
     )
     named = services.select("service_id", slug(F.col("service_id")).alias("slug"))
-    pairs = contains_join(hosts, named, "host_slug", "slug").join(named, "slug")
-    return hosts.join(pairs, "host_slug").where(F.col("service_id") != F.col("repo_id")).select(
+    found = containing(hosts, "host_slug", named, "slug").join(named, "slug")
+    return found.where(F.col("service_id") != F.col("repo_id")).select(
         F.col("repo_id").alias("source_id"),
         F.col("service_id").alias("target_id"),
         F.lit("http_call").alias("kind"),
@@ -322,20 +323,16 @@ def env_targets(variables: DataFrame, services: DataFrame) -> DataFrame:
     pairs = contains_join(bare, named, "bare", "slug").unionByName(
         contains_join(named, bare, "slug", "bare")
     )
-    matches = pairs.distinct().join(named, "slug").select("bare", "service_id")
+    matches = pairs.distinct().join(named, "slug").select("bare", "service_id").distinct()
     anywhere = named.orderBy("service_id").limit(2).select(F.lit("").alias("bare"), "service_id")
-    two = F.array_sort(
-        F.filter(F.array("first", "second"), lambda s: s.isNotNull())
-    )
-    first = matches.unionByName(anywhere).groupBy("bare").agg(F.min("service_id").alias("first"))
-    second = (
+    place = F.row_number().over(Window.partitionBy("bare").orderBy("service_id"))
+    best = (
         matches.unionByName(anywhere)
-        .join(first, "bare")
-        .where(F.col("service_id") > F.col("first"))
+        .withColumn("place", place)
+        .where(F.col("place") <= 2)
         .groupBy("bare")
-        .agg(F.min("service_id").alias("second"))
+        .agg(F.array_sort(F.collect_list("service_id")).alias("candidates"))
     )
-    best = first.join(second, "bare", "left").select("bare", two.alias("candidates"))
     chosen = F.get(F.filter("candidates", lambda s: s != F.col("repo_id")), 0)
     return asked.join(best, "bare", "left").select(
         "repo_id", "variable", F.coalesce(chosen, F.lit(UNRESOLVED)).alias("target_id")
@@ -423,10 +420,8 @@ def import_edges(facts: DataFrame, services: DataFrame) -> DataFrame:
     names = service_names(services).withColumn("module", F.replace("name", F.lit("-"), F.lit("_")))
     starts = tx.exploded(facts, FILE_KEY, F.col("imported"), "tail")
     mentions = tx.exploded(facts, FILE_KEY, F.col("mentioned"), "tail")
-    direct = starts.join(
-        contains_join(starts, names, "tail", "module", prefix_only=True), "tail"
-    ).join(names, "module")
-    later = mentions.join(contains_join(mentions, names, "tail", "name"), "tail").join(names, "name")
+    direct = containing(starts, "tail", names, "module", prefix_only=True).join(names, "module")
+    later = containing(mentions, "tail", names, "name").join(names, "name")
     columns = ["repo_id", "file_path", "service_id"]
     both = direct.select(*columns).unionByName(later.select(*columns))
     return _library_edges(both, "source import")
@@ -464,14 +459,23 @@ def detect_dependencies(
 
     ``files`` has ``repo_id, file_path, content``, ``services`` at least ``service_id,
     language``. Every file is read once, into its facts; ``settle`` may write those so that the
-    seven detectors share them. Of edges with the same triple one is kept, the last by its note.
+    seven detectors share them.
     """
-    from codeloom.operators.keyed import keep_last
-
     languages = services.select(
         F.col("service_id").alias("repo_id"), F.col("language").alias("service_language")
     )
     facts = settle(file_facts(files.join(languages, "repo_id")), "facts")
+    return link(facts, services, facts)
+
+
+def link(facts: DataFrame, services: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Resource nodes and service edges of the repositories in ``facts``.
+
+    ``services`` and ``paths`` (``repo_id, file_path``) are those of all repositories: what facts
+    may point to. Of edges with the same triple one is kept, the last by its note.
+    """
+    from codeloom.operators.keyed import keep_last
+
     stores, queues = datastore_edges(facts), queue_edges(facts)
     columns = ["source_id", "target_id", "kind", "metadata"]
     edges = stores.select(*columns)
@@ -479,7 +483,7 @@ def detect_dependencies(
         queues,
         url_edges(facts, services),
         env_edges(facts, services),
-        rpc_edges(facts, facts),
+        rpc_edges(facts, paths),
         manifest_edges(facts, services),
         import_edges(facts, services),
     ):

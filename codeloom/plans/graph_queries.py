@@ -15,6 +15,7 @@ from codeloom.operators import (
     exports,
     graph,
     keyed,
+    linking,
     services,
 )
 from codeloom.plans.registry import query, spread_table, table, wide_ints
@@ -550,6 +551,52 @@ def rpc_edges(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    """
+    WITH c AS (SELECT DISTINCT 'team' || l_suppkey % 60 AS repo_id, 'job' || l_partkey AS name,
+            'o' || l_orderkey || '.ts' AS file FROM lineitem),
+    h AS (SELECT min(p_brand) AS target, 'job' || p_partkey AS name FROM part GROUP BY ALL),
+    e AS (SELECT repo_id AS source_id, target AS target_id, name, '{"rpc_method":"' || name || '","file":"' || file AS note
+          FROM c JOIN h USING (name))
+    SELECT source_id, target_id, arg_max(name, note) AS rpc_method FROM e GROUP BY ALL"""
+)
+def incremental_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Teams call jobs that brands host. Some brands lose old jobs and gain new ones after the first
+    linking; the edges kept current must be those of linking everything."""
+    team = F.concat(F.lit("team"), (F.col("l_suppkey") % 60).cast("string"))
+    files = spread_table(spark, sf, "lineitem").select(
+        team.alias("repo_id"),
+        F.concat(F.lit("src/o"), F.col("l_orderkey").cast("string"), F.lit(".ts")).alias("file_path"),
+        F.concat(
+            F.lit("await sb.functions.invoke('job"), F.col("l_partkey").cast("string"),
+            F.lit("', {}); fetch(process.env.X)"),
+        ).alias("content"),
+        F.lit("typescript").alias("service_language"),
+    ).distinct()
+    scratch = Scratch(spark)
+    facts = scratch.settle(services.file_facts(files), "facts")
+    part = table(spark, sf, "part")
+    job = lambda kind: F.concat(kind, F.lit("/job"), F.col("p_partkey").cast("string"), F.lit(".py"))
+    hosted = part.select(F.col("p_brand").alias("repo_id"), job(F.col("p_type")).alias("file_path"))
+    moves = (F.col("p_size") < 5) & (F.substring("p_brand", 7, 1) == "1")
+    at_first = part.where(~moves).select(F.col("p_brand").alias("repo_id"), job(F.col("p_type")).alias("file_path"))
+    withdrawn = part.where(moves).select(
+        F.concat(F.lit("Brand#1"), (F.col("p_partkey") % 3).cast("string")).alias("repo_id"), job(F.lit("old")).alias("file_path")
+    )
+    before = at_first.unionByName(withdrawn)
+    owned = facts.select("repo_id").unionByName(hosted.select("repo_id")).distinct().select(F.col("repo_id").alias("service_id"))
+    owned = scratch.settle(owned, "services")
+    edges = scratch.settle(services.link(facts, owned, before)[1], "edges")
+
+    changed = linking.differing(before, hosted).select("repo_id").distinct()
+    names = linking.changed_names(*(p.join(changed, "repo_id", "left_semi") for p in (before, hosted)))
+    reached = scratch.settle(linking.affected_repos(changed, facts, owned.limit(0), names), "reached")
+    anew = services.link(facts.join(reached, "repo_id", "left_semi"), owned, hosted)[1]
+    kept = edges.join(reached.select(F.col("repo_id").alias("source_id")), "source_id", "left_anti")
+    now = kept.unionByName(anew).where(F.col("kind") == "rpc_call")
+    return now.select("source_id", "target_id", F.col("metadata")["rpc_method"].alias("rpc_method"))
+
+
 @query(
     """
     WITH s AS (SELECT lower(replace(p_type, ' ', '_')) || '_kit' AS id FROM part GROUP BY 1),

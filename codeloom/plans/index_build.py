@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from codeloom import schema
 from codeloom.operators import calls as call_ops
 from codeloom.operators import changes as change_ops
-from codeloom.operators import chunking, definitions, encoding, keyed
+from codeloom.operators import chunking, definitions, encoding, keyed, linking
 from codeloom.operators import services as service_ops
 from codeloom.settings import Settings
 from codeloom.sources import file_profile, ignore_rules, source_tree
@@ -48,6 +48,7 @@ class Index:
             "resources", type(schema.FILES)([repo, *schema.RESOURCES.fields]), ("repo_id",)
         )
         self.services = table("services", schema.SERVICES, ("service_id",))
+        self.facts = table("facts", schema.FACTS)
         self.flows = table("flows", schema.FLOWS, ("service_id",))
         self.tracked = table("tracked", schema.TRACKED_FILES)
 
@@ -55,7 +56,7 @@ class Index:
     def tables(self) -> list[Table]:
         return [
             self.files, self.chunks, self.methods, self.sites, self.edges, self.resources,
-            self.services, self.flows, self.tracked,
+            self.services, self.facts, self.flows, self.tracked,
         ]
 
     def create(self) -> None:
@@ -265,10 +266,12 @@ def _relink(
     changes: DataFrame,
     scratch: Scratch,
 ) -> None:
-    """Services and edges of the changed repositories, from stored methods, sites and text.
+    """Services, facts and edges, wherever the changes reach.
 
-    Nothing is parsed again. The service graph also reads manifests and Terraform files, which
-    are not part of the indexed text, straight from the listing.
+    Methods and sites are not parsed again, and only changed files are read for facts. The service
+    graph also reads manifests and Terraform files, which are not part of the indexed text,
+    straight from the listing. Edges of repositories that didn't change are linked anew
+    if their stored facts name a service, folder or file that came or went.
     """
     repos = scratch.settle(change_ops.changed_repos(changes), "repos")
     owners = repos.select(F.col("repo_id").alias("service_id"))
@@ -292,13 +295,40 @@ def _relink(
         "service_id", "name", "repo", "language", "tags",
         F.coalesce("service_type", F.lit("service")).alias("service_type"),
     )
+    index.create()
+    rows = scratch.settle(rows, "services")
+    before = scratch.settle(index.services.read().select("service_id", "language"), "services-before")
     index.services.replace(owners, rows)
-
     everyone = index.services.read()
     readable = text.withColumn("size", F.lit(0))
     sources = file_profile.service_files(readable, service_ops.MANIFESTS).select(*columns)
-    resources, links = service_ops.detect_dependencies(sources, everyone, scratch.settle)
-    index.resources.replace(repos, resources)
+
+    key = ["repo_id", "file_path"]
+    stored = scratch.settle(index.facts.read().select(*key).join(repos, "repo_id", "left_semi"), "facts-before")
+    listed = scratch.settle(sources.select(*key), "sources")
+    retold = linking.differing(
+        before.join(owners, "service_id", "left_semi"), rows.select("service_id", "language")
+    ).select(F.col("service_id").alias("repo_id"))
+    stale = (
+        changes.select(*key)
+        .unionByName(extra.select(*key).join(repos, "repo_id", "left_semi"))
+        .unionByName(linking.differing(stored, listed))
+        .unionByName(listed.join(retold, "repo_id", "left_semi"))
+        .distinct()
+    )
+    stale = scratch.settle(stale, "stale-facts")
+    told = service_ops.file_facts(sources.join(stale, key, "left_semi").join(languages, "repo_id"))
+    index.facts.replace(stale, told)
+    facts = index.facts.read()
+
+    came = linking.differing(before.select("service_id"), everyone.select("service_id"))
+    names = linking.changed_names(stored, facts.select(*key).join(repos, "repo_id", "left_semi"))
+    reached = scratch.settle(linking.affected_repos(repos, facts, came, names), "reached")
+    resources, links = service_ops.link(
+        scratch.settle(facts.join(reached, "repo_id", "left_semi"), "facts"), everyone, facts.select(*key)
+    )
+    index.resources.replace(reached, resources)
+    owners = reached.select(F.col("repo_id").alias("service_id"))
     methods = index.methods.read().join(owners, "service_id", "left_semi")
     sites = index.sites.read().join(owners, "service_id", "left_semi")
     resolved = call_ops.resolve_calls(sites, methods)
@@ -306,7 +336,7 @@ def _relink(
         "repo_id", F.substring_index("source_id", "::", 1)
     )
     link_rows = links.withColumn("repo_id", F.col("source_id"))
-    index.edges.replace(repos, call_rows.unionByName(link_rows))
+    index.edges.replace(reached, call_rows.unionByName(link_rows))
 
 
 def shared_resources(index: Index) -> DataFrame:

@@ -69,6 +69,15 @@ EDGES = _struct(
     "source_id string, target_id string, kind string, metadata map<string,string>"
 )
 
+_RESOURCE_USE = T.ArrayType(_struct("kind string, name string, direction string"))
+_NAMES = ("hosts", "variables", "rpc_names", "quoted", "imported", "mentioned")
+
+FACTS = T.StructType(
+    _struct("repo_id string, file_path string").fields
+    + [T.StructField(name, _RESOURCE_USE) for name in ("stores", "queues")]
+    + [T.StructField(name, T.ArrayType(T.StringType())) for name in _NAMES]
+)
+
 TRACKED_FILES = _struct("repo_id string, file_path string, mtime double, indexed_at double")
 
 INDEX_META = _struct("key string, value string")

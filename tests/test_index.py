@@ -216,3 +216,53 @@ def test_stream_applies_late_and_repeated_versions(spark, tmp_path):
     assert drain() == [("a", "a3"), ("b", "b1")]
     spark.createDataFrame([("a", 2, "late"), ("b", 2, "b2"), ("c", 1, "c1")], schema).write.mode("append").parquet(source)
     assert drain() == [("a", "a3"), ("b", "b2"), ("c", "c1")]
+
+
+def _write(root, files):
+    for name, content in files.items():
+        at = os.path.join(root, name)
+        if content is None:
+            os.remove(at)
+            continue
+        os.makedirs(os.path.dirname(at), exist_ok=True)
+        with open(at, "w") as out:
+            out.write(content)
+        _write.clock += 10
+        os.utime(at, (_write.clock, _write.clock))
+
+
+_write.clock = 2000.0
+
+
+def test_incremental_edges_equal_those_of_a_full_build(spark, tree, tmp_path):
+    shop = tree({"a.py": "import os\nos.getenv('PAY_URL')\nsb.functions.invoke('sync')\ndef f():\n    return g()\ndef g():\n    return 1\n"}, "shop")
+    pay = tree({"b.py": "import requests\nrequests.get('http://shop:80/x')\n"}, "pay")
+    late = tree({"c.py": "import redis\nredis.Redis('h')\n"}, "late")
+    two = (Repo("shop", shop), Repo("pay", pay))
+    three = (*two, Repo("late", late))
+    steps = [
+        (two, {}),
+        (two, {f"{pay}/functions/sync/index.py": "from shop import x\n"}),  # shop's RPC call finds its target
+        (two, {f"{shop}/d.py": "from late import y\n"}),
+        (three, {}),  # a service that an unchanged repository imports
+        (three, {f"{late}/sync/z.py": "x = 1\n"}),  # a smaller target id for the same name
+        (three, {f"{pay}/functions/sync/index.py": None, f"{late}/sync/z.py": None}),
+        (three, {f"{shop}/a.py": "def f():\n    return 2\n"}),
+    ]
+
+    def edges(path, settings):
+        rows = index_build.Index(spark, path, settings).edges.read().collect()
+        return {(r.repo_id, r.source_id, r.target_id, r.kind, tuple(sorted((r.metadata or {}).items()))) for r in rows}
+
+    seen = []
+    for number, (repos, files) in enumerate(steps):
+        _write("/", files)
+        settings = Settings(repos=repos, index_buckets=3, fresh_seconds=0.0)
+        index_build.build(spark, str(tmp_path / "kept"), settings, MODEL, rebuild=number == 0)
+        index_build.build(spark, str(tmp_path / f"full-{number}"), settings, MODEL, rebuild=True)
+        seen.append(edges(str(tmp_path / "kept"), settings))
+        assert seen[-1] == edges(str(tmp_path / f"full-{number}"), settings)
+    kinds = [{(a, c, d) for _, a, c, d, _ in step} for step in seen]
+    assert ("shop", "pay", "rpc_call") not in kinds[0] and ("shop", "pay", "rpc_call") in kinds[1]
+    assert ("shop", "late", "library_dependency") not in kinds[2] and ("shop", "late", "library_dependency") in kinds[3]
+    assert ("shop", "late", "rpc_call") in kinds[4] and not any(k == "rpc_call" for *_, k in kinds[5])

@@ -1,9 +1,10 @@
 import re
+import time
 
 import pytest
 
-from codeloom.operators import services
-from codeloom.operators.containment import contains_join
+from codeloom.operators import containment, services
+from codeloom.operators.containment import containing, contains_join
 from codeloom.sources import ignore_rules
 
 
@@ -100,3 +101,25 @@ def test_nested_rules_and_negation(spark):
     listing = spark.createDataFrame([("r", p) for p in paths] + [("other", "a.tmp")], "repo_id string, file_path string")
     kept = {(r.repo_id, r.file_path) for r in ignore_rules.drop_ignored(listing, ignore_rules.ignore_rules(rules)).collect()}
     assert kept == {("r", p) for p in ["keep.tmp", "x/keep.tmp", "only", "sub/deep/only", "any", "a.py"]} | {("other", "a.tmp")}
+
+
+def test_a_line_of_a_mebibyte_meets_thousands_of_names(spark):
+    names = [f"svc-{i}" for i in range(2000)] + ["shared-prefix", "shared-prefix-long", "zz"]
+    line = ("x" * 500 + " svc-7, ") * 2100 + "shared-prefix-long"
+    assert len(line) > 2**20
+    rows = spark.createDataFrame([(1, line), (2, "svc-19 "), (3, None), (4, "")], "k long, t string")
+    needles = spark.createDataFrame([(n,) for n in [*names, "", None, "zz"]], "n string")
+    started = time.monotonic()
+    got = sorted((r.k, r.n) for r in containing(rows, "t", needles, "n").collect())
+    assert time.monotonic() - started < 30
+    assert got == [(1, "shared-prefix"), (1, "shared-prefix-long"), (1, "svc-7"), (2, "svc-1"), (2, "svc-19")]
+    starts = containing(rows, "t", needles, "n", prefix_only=True).collect()
+    assert sorted((r.k, r.n) for r in starts) == [(2, "svc-1"), (2, "svc-19")]
+
+
+def test_needles_beyond_one_automaton_are_all_found(spark, monkeypatch):
+    monkeypatch.setattr(containment, "SHARD_CHARS", 7)
+    texts = spark.createDataFrame([("abcdef",), ("cdx",)], "t string")
+    needles = spark.createDataFrame([(n,) for n in ("abc", "cd", "def", "bcde", "x", "q", "longer than a shard")], "n string")
+    got = {tuple(r) for r in containment.contains_join(texts, needles, "t", "n").collect()}
+    assert got == {("abcdef", "abc"), ("abcdef", "cd"), ("abcdef", "def"), ("abcdef", "bcde"), ("cdx", "cd"), ("cdx", "x")}
