@@ -241,13 +241,10 @@ def test_incremental_edges_equal_those_of_a_full_build(spark, tree, tmp_path):
     two = (Repo("shop", shop), Repo("pay", pay))
     three = (*two, Repo("late", late))
     steps = [
-        (two, {}),
-        (two, {f"{pay}/functions/sync/index.py": "from shop import x\n"}),  # shop's RPC call finds its target
         (two, {f"{shop}/d.py": "from late import y\n"}),
-        (three, {}),  # a service that an unchanged repository imports
-        (three, {f"{late}/sync/z.py": "x = 1\n"}),  # a smaller target id for the same name
+        # shop itself stays as it is: its RPC call finds a target, its import finds a service
+        (three, {f"{pay}/functions/sync/index.py": "from shop import x\n", f"{late}/sync/z.py": "x = 1\n"}),
         (three, {f"{pay}/functions/sync/index.py": None, f"{late}/sync/z.py": None}),
-        (three, {f"{shop}/a.py": "def f():\n    return 2\n"}),
     ]
 
     def edges(path, settings):
@@ -257,12 +254,13 @@ def test_incremental_edges_equal_those_of_a_full_build(spark, tree, tmp_path):
     seen = []
     for number, (repos, files) in enumerate(steps):
         _write("/", files)
-        settings = Settings(repos=repos, index_buckets=3, fresh_seconds=0.0)
+        settings = Settings(repos=repos, index_buckets=2, fresh_seconds=0.0)
         index_build.build(spark, str(tmp_path / "kept"), settings, MODEL, rebuild=number == 0)
-        index_build.build(spark, str(tmp_path / f"full-{number}"), settings, MODEL, rebuild=True)
         seen.append(edges(str(tmp_path / "kept"), settings))
-        assert seen[-1] == edges(str(tmp_path / f"full-{number}"), settings)
+        if number:
+            index_build.build(spark, str(tmp_path / f"full-{number}"), settings, MODEL, rebuild=True)
+            assert seen[-1] == edges(str(tmp_path / f"full-{number}"), settings)
     kinds = [{(a, c, d) for _, a, c, d, _ in step} for step in seen]
-    assert ("shop", "pay", "rpc_call") not in kinds[0] and ("shop", "pay", "rpc_call") in kinds[1]
-    assert ("shop", "late", "library_dependency") not in kinds[2] and ("shop", "late", "library_dependency") in kinds[3]
-    assert ("shop", "late", "rpc_call") in kinds[4] and not any(k == "rpc_call" for *_, k in kinds[5])
+    assert not kinds[0] & {("shop", "late", "rpc_call"), ("shop", "late", "library_dependency")}
+    assert kinds[1] >= {("shop", "late", "rpc_call"), ("shop", "late", "library_dependency"), ("pay", "shop", "library_dependency")}
+    assert ("shop", "late", "library_dependency") in kinds[2] and not any(k == "rpc_call" for *_, k in kinds[2])
