@@ -2,7 +2,8 @@
 
 The vocabulary is a trie over bytes. A node's failure link names the node where matching goes on
 when no child fits, and its popped count says how many tokens are settled by following it; both
-are computed once, breadth first. Counting a word then takes one step per byte plus the links
+are computed once, breadth first. A byte that no token covers counts as one token of its own, and
+matching goes on behind it like behind any token. Counting a word then takes one step per byte plus the links
 it follows, and every link settles a token, so long words cost no more per byte than short ones.
 
 The vocabulary is a byte-level one, in which a leading blank belongs to the word; a word is
@@ -48,7 +49,7 @@ def vocabulary(path: str = VOCABULARY) -> list[bytes]:
 
 @dataclass
 class Automaton:
-    """children: (node << 8 | byte) -> node; fail: node or -1; popped: tokens settled by failing."""
+    """children: (node << 8 | byte) -> node; fail: node, -1 at the root; popped: tokens settled by failing."""
 
     children: dict[int, int]
     fail: list[int]
@@ -76,7 +77,7 @@ class Automaton:
             above = queue.popleft()
             for byte in below[above]:
                 node = children[above << 8 | byte]
-                if node in ends:
+                if node in ends or above == 0:
                     fail[node], popped[node] = 0, 1
                 else:
                     at, settled = fail[above], popped[above]
@@ -85,6 +86,8 @@ class Automaton:
                         at = fail[at]
                     if at >= 0:
                         fail[node], popped[node] = children[at << 8 | byte], settled
+                    else:
+                        fail[node], popped[node] = 0, settled + 1
                 queue.append(node)
         return cls(children, fail, popped)
 
@@ -97,27 +100,14 @@ class Automaton:
                 if node == 0:
                     total, after = total + 1, 0
                     break
-                if fail[node] < 0:
-                    total += self._stuck(node)
-                    node = 0
-                else:
-                    total += popped[node]
-                    node = fail[node]
+                total += popped[node]
+                node = fail[node]
             node = after
         while node:
-            if fail[node] < 0:
-                return total + self._stuck(node)
             total += popped[node]
             node = fail[node]
         return total
 
-    def _stuck(self, node: int) -> int:
-        """Bytes of a node that starts with no token, each one unknown."""
-        depth, parents = 0, self.__dict__.setdefault("parents", {v: k >> 8 for k, v in self.children.items()})
-        while node:
-            node, depth = parents[node], depth + 1
-        return depth
-
 
 def count_tokens(docs: DataFrame, automaton: Automaton) -> DataFrame:
     """(doc_id, n_words, n_tokens) of every row of ``docs``."""
