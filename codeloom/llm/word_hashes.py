@@ -1,9 +1,11 @@
 """Words of Arrow text batches as 64-bit hashes, without a Python object per word.
 
-A word is a run of bytes other than space and 0x09-0x0D, with A-Z lowered. Its hash is a
-polynomial over a fixed random table of byte values, modulo 2**64, taken as the difference of
-two prefix sums and then mixed. Equal words have equal hashes everywhere; two different words
-share one with a chance of about 2**-64.
+A word is a run of bytes other than space and 0x09-0x0D, with A-Z lowered. Its hash is the sum,
+modulo 2**64, of a fixed random value of each byte times a fixed random odd factor of its place in
+the word, taken as the difference of two prefix sums and then mixed. The factors follow no power
+law, so no pattern of letters cancels out by its form, as mirrored words do in a polynomial modulo a
+power of two. Equal words have equal hashes everywhere; a sum of random terms that loses the low
+bits common to all byte differences makes two different words share one with a chance near 2**-60.
 """
 
 from __future__ import annotations
@@ -18,25 +20,9 @@ _VALUES = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.u
 _VALUES[65:91] = _VALUES[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 2**64)
 #: Bytes of text handled at a time; a longer document is a piece of its own.
 PIECE_BYTES = 2_000_000
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = max(PIECE_BYTES, 1 << (n - 1).bit_length())
-    if size not in _powers:
-        _powers.clear()
-        base = np.full(size, _BASE, np.uint64)
-        inverse = np.full(size, _INVERSE, np.uint64)
-        base[0] = inverse[0] = 1
-        _powers[size] = np.multiply.accumulate(base), np.multiply.accumulate(inverse)
-    return _powers[size]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalizer that spreads every input bit over all output bits."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -44,6 +30,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_factors = np.zeros(0, np.uint64)
+
+
+def _place_factors(n: int) -> np.ndarray:
+    """Odd factors of the first ``n`` places at least."""
+    global _factors
+    if len(_factors) < n:
+        places = np.arange(1, max(PIECE_BYTES, n) + 1, dtype=np.uint64)
+        _factors = mix(places * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    return _factors
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Byte offsets of each text (one more than texts) and the bytes; null is empty."""
     if pa.types.is_null(column.type):
@@ -81,12 +79,13 @@ def hash_words(bounds: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndar
     ends[:-1] &= ~in_word[1:] | begins[1:]
     begin = np.flatnonzero(begins)
     end = np.flatnonzero(ends)
-    power, inverse = _power_tables(n)
+    place = np.arange(n)
+    place -= np.maximum.accumulate(np.where(begins, place, 0))
+    factors = _place_factors(n)
     running = _VALUES[data]
-    running *= power[:n]
+    running *= factors[place]
     np.cumsum(running, out=running)
-    sums = running[end] - running[begin] + _VALUES[data[begin]] * power[begin]
-    sums *= inverse[begin]
+    sums = running[end] - running[begin] + _VALUES[data[begin]] * factors[0]
     sums += (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     return mix(sums), np.searchsorted(begin, starts_at)
 

@@ -8,12 +8,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from codeloom.llm import (
     base, jaccard_join, kneser_ney, personal_data, quality_rules, queries, reply_trees, secret_scan, source_mix, token_counts,
-    toxicity, winnowing,
+    toxicity, winnowing, word_hashes,
 )
 
 DATA = "/root/testdata/sf0.001"
@@ -308,20 +309,45 @@ def test_automaton_equals_greedy_longest_match(spark, hard, empty):
     rng = random.Random(2)
     for _ in range(300):
         tokens = {bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(1, 12))}
-        tokens |= {b"a", b"b", b"c"} if rng.random() < 0.7 else {b"a", b"b"}
+        tokens |= set(rng.sample([b"a", b"b", b"c"], rng.randint(0, 3)))
         automaton = token_counts.Automaton.build(sorted(tokens))
-        text = bytes(rng.choice(b"abc" if {b"c"} <= tokens else b"ab") for _ in range(rng.randint(0, 30)))
+        text = bytes(rng.choice(b"abcd") for _ in range(rng.randint(0, 30)))
         n = at = 0
         while at < len(text):
-            at += next(k for k in range(6, 0, -1) if text[at : at + k] in tokens)
+            at += next((k for k in range(6, 0, -1) if text[at : at + k] in tokens), 1)
             n += 1
         assert automaton.count(text) == n
+    assert token_counts.Automaton.build([b"abcd", b"bc", b"e"]).count(b"abce") == 3
     small = token_counts.Automaton.build([bytes([b]) for b in range(256)])
     got = token_counts.count_tokens(hard, small).collect()
     assert sorted(r.n_tokens for r in got) == sorted(sum(len(w) + 1 for w in words(r.text)) for r in hard.collect())
     assert token_counts.count_tokens(empty, small).collect() == []
 
 
+def test_word_hashes_tell_mirrored_words_apart():
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate({97: 98, 98: 97})
+        other = word.translate({97: 98, 98: 97})
+        column = pa.array([f"{word} {other}", None, f" x\t{other.upper()}  {word} "])
+        (_, _, got, first), = word_hashes.hashed(column)
+        assert list(first) == [0, 2, 2, 5]
+        assert got[0] == got[4] != got[1] == got[3]
+
+
+def test_word_hashes_depend_on_the_word_alone():
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abAB \n") for _ in range(rng.randint(0, 80))) for _ in range(400)]
+    of = {}
+    for _, _, got, first in word_hashes.hashed(pa.array(texts)):
+        for i, text in enumerate(texts):
+            plain = words(text)
+            assert first[i + 1] - first[i] == len(plain)
+            for word, value in zip(plain, got[first[i] : first[i + 1]]):
+                assert of.setdefault(word, value) == value
+    assert len(set(of.values())) == len(of)
+
+
 def edits(a, b):
     """Edit distance with swaps of neighbours."""
     d = [[max(i, j) if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
