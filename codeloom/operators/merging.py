@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-
-from codeloom.functions.text import exploded
+from pyspark.sql import types as T
 
 MAX_MERGED_LINES = 60
 
@@ -27,50 +29,63 @@ def merge_neighbours(
 
     Input ``file_cols, chunk_id, start_line, end_line, score, ordinal`` plus ``carry`` columns,
     which keep the value of a block's first hit. The length test looks at the next hit's end,
-    so a block that is already longer still absorbs what lies inside it. Which hit a block
-    absorbs depends on the block so far, hence a fold; the array it folds over holds the hits
-    of one file, which is never more than the file has lines.
+    so a block that is already longer still absorbs what lies inside it.
+
+    A hit that starts beyond everything before it opens an island, which a running maximum
+    finds. Which hit a block absorbs depends on the block so far, so a task walks over its hits
+    in order and numbers the blocks; it holds one block's range, however many hits a file has.
     """
-    part = F.struct(
-        F.col("start_line").alias("s"),
-        F.col("ordinal").alias("o"),
-        F.col("end_line").alias("e"),
-        F.col("score").alias("score"),
-        F.array("chunk_id").alias("ids"),
-        F.struct(F.lit(0).alias("_"), *[F.col(c).alias(c) for c in carry]).alias("c"),
+    order = ("start_line", "ordinal", "end_line", "chunk_id")
+    in_file = Window.partitionBy(*file_cols).orderBy(*order)
+    reach = F.max("end_line").over(in_file.rowsBetween(Window.unboundedPreceding, -1))
+    opens = reach.isNull() | (F.col("start_line") > reach + 1)
+    # The window leaves its rows in this order already, so the sort costs nothing.
+    walked = (
+        hits.select(*file_cols, *order, "score", *carry, opens.alias("_opens"))
+        .sortWithinPartitions(*file_cols, *order)
     )
-    grouped = hits.groupBy(*file_cols).agg(F.sort_array(F.collect_list(part)).alias("parts"))
-    block_type = grouped.schema["parts"].dataType.simpleString()
-
-    def absorb(done, nxt):
-        cur = F.element_at(done, -1)
-        joined = F.struct(
-            F.least(cur["s"], nxt["s"]).alias("s"),
-            cur["o"].alias("o"),
-            F.greatest(cur["e"], nxt["e"]).alias("e"),
-            F.greatest(cur["score"], nxt["score"]).alias("score"),
-            F.concat(cur["ids"], nxt["ids"]).alias("ids"),
-            cur["c"].alias("c"),
+    numbered = walked.mapInArrow(
+        _number_blocks(max_lines), T.StructType([*walked.schema.fields, T.StructField("_block", T.LongType())])
+    )
+    place = F.struct(*order)
+    ids = F.array_sort(F.collect_list(F.struct(*order)))
+    return (
+        numbered.groupBy(*file_cols, "_block")
+        .agg(
+            F.min("start_line").alias("start_line"),
+            F.max("end_line").alias("end_line"),
+            F.max("score").alias("score"),
+            F.min_by(F.struct("ordinal", *carry), place).alias("_first"),
+            F.transform(ids, lambda x: x["chunk_id"]).alias("part_ids"),
         )
-        fits = (nxt["s"] <= cur["e"] + 1) & (nxt["e"] - cur["s"] + 1 <= max_lines)
-        closed = F.slice(done, F.lit(1), F.size(done) - 1)
-        return F.when(F.size(done) == 0, F.array(nxt)).otherwise(
-            F.when(fits, F.concat(closed, F.array(joined))).otherwise(F.concat(done, F.array(nxt)))
+        .select(
+            *file_cols, "start_line", "end_line", "score",
+            F.col("_first.ordinal").alias("ordinal"),
+            "part_ids",
+            *[F.col(f"_first.{c}").alias(c) for c in carry],
         )
-
-    folded = F.aggregate("parts", F.array().cast(block_type), absorb)
-    blocks = exploded(grouped, file_cols, folded, "b")
-    return blocks.select(
-        *file_cols,
-        F.col("b.s").alias("start_line"),
-        F.col("b.e").alias("end_line"),
-        F.col("b.score").alias("score"),
-        F.col("b.o").alias("ordinal"),
-        F.col("b.ids").alias("part_ids"),
-        *[F.col(f"b.c.{c}").alias(c) for c in carry],
     )
 
 
+def _number_blocks(max_lines: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds ``_block``, the block a hit falls into, counted over the task's ordered hits."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = first = last = 0
+        for batch in batches:
+            numbers = []
+            rows = (batch.column(c).to_pylist() for c in ("_opens", "start_line", "end_line"))
+            for opens, start, end in zip(*rows):
+                if opens or start > last + 1 or end - first + 1 > max_lines:
+                    block, first, last = block + 1, start, end
+                else:
+                    last = max(last, end)
+                numbers.append(block)
+            yield batch.append_column("_block", pa.array(numbers, pa.int64()))
+
+    return number
+
+
 def drop_covered(blocks: DataFrame, file_cols: tuple[str, ...] = ("file_path",)) -> DataFrame:
     """Drop blocks whose range lies inside another block of the file.
 

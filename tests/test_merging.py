@@ -1,6 +1,8 @@
 import random
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from codeloom.operators import keyed, merging
 from codeloom.operators.overlap import overlap_join
@@ -76,6 +78,18 @@ def test_merge_and_drop_match_brute_force(spark):
     assert ranges(merging.drop_covered(frame)) == sorted(expected_drop)
 
 
+def test_a_file_of_one_long_island_folds_in_linear_time(spark):
+    rng = random.Random(4)
+    spans = sorted((s, s + rng.randint(0, 30)) for s in range(1, 100_001))
+    rows = spark.createDataFrame([(str(i), s, e) for i, (s, e) in enumerate(spans)], "chunk_id string, start_line int, end_line int")
+    hits = rows.selectExpr("'f' AS file_path", "*", "0.5D AS score", "CAST(chunk_id AS int) AS ordinal")
+    began = time.monotonic()
+    merged = merging.merge_neighbours(hits, 60).select("start_line", "end_line", F.size("part_ids").alias("n")).collect()
+    assert time.monotonic() - began < 30
+    assert sorted((r.start_line, r.end_line) for r in merged) == plain_merge(spans, 60)
+    assert sum(r.n for r in merged) == len(spans)
+
+
 def test_equal_ranges_keep_the_higher_score(spark):
     frame = spark.createDataFrame(
         [("f", "a", 1, 9, 0.2, 0), ("f", "b", 1, 9, 0.8, 1), ("f", "c", 1, 9, 0.8, 2)], HIT
