@@ -12,6 +12,9 @@ from codeloom.functions import text as tx
 from codeloom.operators.overlap import overlap_join
 
 Settle = Callable[[DataFrame, str], DataFrame]
+#: The rows of a table that belong to the given files, ``(repo_id, file_path)``.
+Lookup = Callable[[DataFrame], DataFrame]
+FILE_KEY = ("repo_id", "file_path")
 
 
 def unsettled(rows: DataFrame, name: str) -> DataFrame:
@@ -124,14 +127,18 @@ def expand_hits(
     depth: int = 2,
     max_chunks: int = 30,
     settle: Settle = unsettled,
+    methods_of: Lookup | None = None,
+    files_of: Lookup | None = None,
 ) -> Expansion:
     """Chunks for the methods around the hits, best ``max_chunks``.
 
     ``files(repo_id, file_path, content)`` supplies the text; a method whose file is gone
-    yields nothing.
+    yields nothing. ``methods_of`` and ``files_of`` read the methods and texts of a few files
+    where the tables can be pruned; without them the whole tables are scanned.
     """
-    file_key = ["repo_id", "file_path"]
-    seeds = matching_methods(hits, methods).select("method_id", "score")
+    file_key = list(FILE_KEY)
+    near = methods_of(hits.select(*file_key).distinct()) if methods_of else methods
+    seeds = matching_methods(hits, near).select("method_id", "score")
     found = spread(seeds, edges, methods, depth, settle=settle)
     nodes = methods.withColumnRenamed("service_id", "repo_id")
     reached = settle(nodes.join(found.scores, "method_id"), "reached")
@@ -139,8 +146,11 @@ def expand_hits(
     # lets Spark broadcast the reached methods instead of moving the file table.
     present = settle(reached.join(files.select(*file_key), file_key), "present")
     bonus = present.orderBy(F.desc("score"), F.asc("method_id")).limit(max_chunks)
+    if files_of:
+        bonus = settle(bonus, "best_bonus")
+    texts = files_of(bonus.select(*file_key).distinct()) if files_of else files
     text = F.broadcast(bonus).join(
-        files.select(*file_key, F.col("content").alias("_file")), file_key
+        texts.select(*file_key, F.col("content").alias("_file")), file_key
     )
     chunks = text.select(
         F.col("method_id").alias("chunk_id"),

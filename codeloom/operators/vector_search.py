@@ -69,16 +69,17 @@ def cosine_topk(
     k: int,
     id_col: str = "chunk_id",
     vector_col: str = "embedding",
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """The ``k`` rows nearest to ``query`` as ``(id, score)``.
+    """The ``k`` rows nearest to ``query`` as ``(id, *carry, score)``.
 
-    Only id and vector are read, and each task hands on at most ``k`` rows to the final
+    Only id, ``carry`` and vector are read, and each task hands on at most ``k`` rows to the final
     ordered limit. Rows without a vector are left out and a zero query finds nothing.
     """
     if not any(query) or k <= 0:
-        scan = vectors_df.select(id_col, F.lit(0.0).alias("score"))
+        scan = vectors_df.select(id_col, *carry, F.lit(0.0).alias("score"))
         return scan.where(F.lit(False))
-    scored = cosine_scores(vectors_df, query, [id_col], vector_col, keep=k)
+    scored = cosine_scores(vectors_df, query, [id_col, *carry], vector_col, keep=k)
     return scored.orderBy(F.desc("score"), F.asc(id_col)).limit(k)
 
 
@@ -125,9 +126,9 @@ def hydrate(hits: DataFrame, chunks: DataFrame, id_col: str = "chunk_id") -> Dat
     return chunks.join(F.broadcast(hits), id_col, "inner")
 
 
-def best_of(*results: DataFrame, id_col: str = "chunk_id") -> DataFrame:
-    """Union of several searches, highest score per id."""
+def best_of(*results: DataFrame, id_col: str = "chunk_id", carry: Sequence[str] = ()) -> DataFrame:
+    """Union of several searches, highest score per id; ``carry`` are columns the id decides."""
     union = results[0]
     for other in results[1:]:
         union = union.unionByName(other)
-    return union.groupBy(id_col).agg(F.max("score").alias("score"))
+    return union.groupBy(id_col, *carry).agg(F.max("score").alias("score"))

@@ -56,13 +56,19 @@ class DebugResult:
     error: str | None = None
 
 
+def nearest(
+    chunks: DataFrame, vectors: list[list[float]], top_k: int, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """Ids and scores of the best chunks over all query vectors; at most ``top_k`` per vector."""
+    found = [vector_search.cosine_topk(chunks, vector, top_k, carry=carry) for vector in vectors]
+    return found[0] if len(found) == 1 else vector_search.best_of(*found, carry=carry)
+
+
 def search_hits(
     chunks: DataFrame, vectors: list[list[float]], top_k: int
 ) -> DataFrame:
-    """Best chunks over all query vectors, hydrated; at most ``top_k`` per vector."""
-    found = [vector_search.cosine_topk(chunks, vector, top_k) for vector in vectors]
-    hits = found[0] if len(found) == 1 else vector_search.best_of(*found)
-    return vector_search.hydrate(hits, chunks.drop("embedding"))
+    """The rows of :func:`nearest` with all columns of their chunks."""
+    return vector_search.hydrate(nearest(chunks, vectors, top_k), chunks.drop("embedding"))
 
 
 def result_blocks(
@@ -71,11 +77,13 @@ def result_blocks(
     files: DataFrame,
     top_k: int,
     settle: expansion.Settle = expansion.unsettled,
+    files_of: expansion.Lookup | None = None,
 ) -> DataFrame:
     """Hits and bonus chunks merged per file, covered blocks dropped, at most ``top_k`` left.
 
     Input is bounded by the search limits, so the arrival order is one small window. The text
-    of a block that grew is cut from the file again, not glued from its parts.
+    of a block that grew is cut from the file again, not glued from its parts; ``files_of``
+    reads only the files of such blocks.
     """
     columns = [
         "chunk_id", "score", "repo_id", "file_path", "start_line", "end_line",
@@ -89,9 +97,10 @@ def result_blocks(
     )
     labelled = merging.found_by(merging.drop_covered(merged, file_cols), bonus)
     best = settle(merging.quota_topk(labelled, top_k), "best")
-    text = files.select(*file_cols, F.col("content").alias("_file"))
+    grown_files = best.where(F.size("part_ids") > 1).select(*file_cols).distinct()
+    text = (files_of(grown_files) if files_of else files).select(*file_cols, F.col("content").alias("_file"))
     # The semi join reduces the file table where it is scanned; an outer join could not.
-    needed = text.join(F.broadcast(best.select(*file_cols)), list(file_cols), "left_semi")
+    needed = text.join(F.broadcast(grown_files), list(file_cols), "left_semi")
     whole = best.join(needed, list(file_cols), "left")
     grown = tx.text_range(F.col("_file"), F.col("start_line"), F.col("end_line"))
     ranked = merging.with_ordinal(
@@ -110,20 +119,32 @@ def search_blocks(
     diagnostics: Diagnostics,
     scratch: Scratch,
 ) -> DataFrame:
-    """Ranked blocks of a search; hits, bonus chunks and blocks are settled one after another."""
+    """Ranked blocks of a search; hits, bonus chunks and blocks are settled one after another.
+
+    The vectors are scanned whole. Texts, and the methods that overlap a hit, are then read
+    from the buckets of the few files found, so their cost doesn't grow with the index.
+    """
     settings = index.settings
+
+    def methods_of(keys: DataFrame) -> DataFrame:
+        return index.methods.rows_of(keys.withColumnRenamed("repo_id", "service_id"))
+
     files, methods, edges = index.files.read(), index.methods.read(), index.call_edges()
     with diagnostics.phase("embedding_search"):
-        hits = scratch.settle(search_hits(index.chunks.read(), vectors, top_k), "hits")
+        found = scratch.settle(nearest(index.chunks.read(), vectors, top_k, expansion.FILE_KEY), "found")
+        near = index.chunks.rows_of(found.select(*expansion.FILE_KEY).distinct()).drop("embedding")
+        hits = scratch.settle(vector_search.hydrate(found.select("chunk_id", "score"), near), "hits")
     with diagnostics.phase("graph_expansion"):
         around = expansion.expand_hits(
-            hits, methods, edges, files, settings.expand_depth, settings.expand_max_chunks, scratch.settle
+            hits, methods, edges, files, settings.expand_depth, settings.expand_max_chunks, scratch.settle,
+            methods_of, index.files.rows_of,
         )
         bonus = scratch.settle(around.bonus, "bonus")
         gaps = around.gaps.head()
         diagnostics.skipped_methods, diagnostics.skipped_files = gaps
     with diagnostics.phase("merge_dedup"):
-        return scratch.settle(result_blocks(hits, bonus, files, top_k, scratch.settle), "blocks")
+        blocks = result_blocks(hits, bonus, files, top_k, scratch.settle, index.files.rows_of)
+        return scratch.settle(blocks, "blocks")
 
 
 def refresh(

@@ -1,5 +1,6 @@
 """Source tree to index to answer, on small trees."""
 
+import dataclasses
 import os
 import re
 import time
@@ -124,6 +125,27 @@ def test_build_update_and_search(spark, place):
     assert index_build.seed_from_sibling(spark, copy, target, settings) is None
 
 
+def test_search_reads_texts_and_methods_from_the_buckets_of_its_hits(spark, place, monkeypatch):
+    _, settings, path = place
+    index_build.build(spark, path, settings, MODEL, rebuild=True)
+    pruned, rows_of = {}, tables.Table.rows_of
+
+    def recorded(table, keys):
+        rows = rows_of(table, keys)
+        pruned.setdefault(os.path.basename(table.path), []).append(rows._jdf.queryExecution().executedPlan().toString())
+        return rows
+
+    monkeypatch.setattr(tables.Table, "rows_of", recorded)
+    settings = dataclasses.replace(settings, fresh_seconds=1e9)
+    found = retrieval.retrieve_debug(spark, path, settings, MODEL, "get token", 3)
+    monkeypatch.setattr(tables.Table, "rows_of", lambda table, keys: table.read().join(keys, keys.columns, "left_semi"))
+    unpruned = retrieval.retrieve_debug(spark, path, settings, MODEL, "get token", 3)
+    assert found.error is unpruned.error is None and found.output == unpruned.output != ""
+    assert set(pruned) == {"chunks", "methods", "files"} and len(pruned["files"]) == 2
+    for plans in pruned.values():
+        assert all(re.search(r"PartitionFilters: \[[^\]]*bucket", plan) or "LocalTableScan" in plan for plan in plans)
+
+
 def test_fresh_build_is_not_repeated(spark, place):
     _, settings, path = place
     index = index_build.Index(spark, path, settings)
