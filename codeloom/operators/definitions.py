@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ast
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -133,9 +134,42 @@ CLASS_HEADS = {
 # Languages whose test methods start with 'test', not only 'test_'.
 BARE_TEST_PREFIX = ("csharp", "rust", "php", "cpp")
 
+# A call's name in a line without strings and comments, as group 1.
+_CALL = r"(?<![\w$@])([^\W\d][\w$]*)(?:<[\w\s,<>\[\].:?$]*>)?(?:\?\.)?\s*\("
+CALL_SITES = {
+    (*_JS, "java", "csharp", "php"): _CALL,
+    ("go",): r"(?<!\w)([^\W\d]\w*)(?:\[[\w\s,*.\[\]]+\])?\(",
+    # A path such as a::b stays whole; a macro's name goes without its mark.
+    ("rust",): r"(?<![\w:])((?:\w+::)*[^\W\d]\w*)(?:::<[^()]*?>)?(?:!?\s*\(|!\s*[\[{])",
+    # After a dot, before a bracket, or first on a line before an argument.
+    ("ruby",): (
+        r"(?:(?<=\.)|(?<![\w@$:.])(?=[^\W\d]\w*[?!]?\()"
+        r"|^\s*(?=[^\W\d]\w*[?!]?\s+[\"':@\w\[])(?!\s*\w+[?!]?\s+(?:if|unless|and|or|while|until|do|rescue|in)\b))"
+        r"([^\W\d]\w*[?!]?)"
+    ),
+}
+
+# Words of each language that stand before a bracket or an argument and call nothing.
+_BRANCHES = ("if", "for", "while", "switch", "catch", "return", "new", "throw", "else", "case")
+NOT_A_CALL = {
+    _JS: (*_BRANCHES, "function", "typeof", "await", "super", "import", "of", "in", "instanceof", "void", "yield", "delete"),
+    ("go",): (*_BRANCHES, "func", "go", "defer", "select", "range", "var", "type", "struct", "interface", "map", "chan"),
+    ("java",): (*_BRANCHES, "synchronized", "super", "this", "try", "assert", "do"),
+    ("csharp",): (*_BRANCHES, "using", "lock", "foreach", "fixed", "base", "this", "when", "checked", "unchecked",
+                  "typeof", "sizeof", "default", "await", "in", "is", "and", "or", "not"),
+    ("rust",): ("if", "while", "match", "for", "in", "return", "let", "loop", "fn", "move", "mut", "ref", "as", "else", "impl", "where"),
+    ("ruby",): ("if", "unless", "while", "until", "for", "in", "case", "when", "elsif", "else", "return", "def", "class", "module",
+                "do", "and", "or", "not", "yield", "super", "rescue", "ensure", "begin", "end", "then", "alias", "undef", "self"),
+    ("php",): (*_BRANCHES, "elseif", "foreach", "match", "function", "fn", "array", "list", "isset", "empty", "unset", "echo",
+               "print", "exit", "die", "use", "and", "or", "xor", "declare"),
+}
+
+# A definition's own name, so that it isn't taken for a call.
+DEFINED_NAME = r"\b(?:function|func|fn|def)\s+(?:\([^)]*\)\s*|self\.)?[\w$]+[?!]?"
+
 RUBY_OPENER = r"\b(def|class|module|do|if|unless|while|until|for|case|begin)\b"
 RUBY_CLOSER = r"^\s*end\b"
-#: A body of this many lines or more is given up and counts as its head line; None sets no limit.
+#: A body of this many lines or more is given up and counts as its head line; None, as in builds, sets no limit.
 BODY_LIMIT = 500
 HEAD_TO_BRACE = 4
 
@@ -204,6 +238,21 @@ def _python_facts(source: str | None) -> dict:
 
 
 Grammar = Callable[[str, str], dict]
+Settle = Callable[[DataFrame, str], DataFrame]
+
+
+def _unsettled(rows: DataFrame, name: str) -> DataFrame:
+    return rows
+
+
+@dataclass(frozen=True)
+class Parsing:
+    """How a build reads methods: the arguments of ``extract_methods`` that a caller may set."""
+
+    grammar: Grammar | None = None
+    grammar_parsers: tuple[str, ...] = ()
+    body_limit: int | None = None
+    builtins: DataFrame | None = None
 
 
 def parsed_facts(grammar: Grammar | None = None) -> Callable[[Column, Column], Column]:
@@ -505,13 +554,84 @@ def cpp_calls(files: DataFrame, methods: DataFrame) -> DataFrame:
     )
 
 
+def _code_of_line(line: Column) -> Column:
+    """A line with its strings emptied and without comments, by the parser's rules."""
+    quoted = F.regexp_replace(line, r"\"(?:[^\"\\]|\\.)*+\"", '""')
+    # A single quote also marks lifetimes in Rust, where only a character literal is a text.
+    plain = F.when(
+        F.col("parser").isin("rust", "go", "java", "csharp"), F.regexp_replace(quoted, r"'(?:\\[^']+|[^'\\])'", "''")
+    ).otherwise(F.regexp_replace(quoted, r"'(?:[^'\\]|\\.)*+'", "''"))
+    ticked = F.regexp_replace(plain, r"`(?:[^`\\]|\\.)*+`", "``")
+    hashed = F.when(F.col("parser").isin("ruby", "php"), F.regexp_replace(ticked, r"#.*", "")).otherwise(ticked)
+    whole = F.when(F.col("parser") == "ruby", hashed).otherwise(
+        F.regexp_replace(F.regexp_replace(hashed, r"/\*.*?\*/", " "), r"//.*|/\*.*", "")
+    )
+    inside_comment = (F.col("parser") != "ruby") & F.ltrim(line).rlike(r"^\*(?:\s|/|$)")
+    return F.when(inside_comment, "").otherwise(whole)
+
+
+def script_calls(files: DataFrame, methods: DataFrame) -> DataFrame:
+    """Call sites of the languages matched by line, C and C++ excepted.
+
+    ``files`` carry ``parser``; ``methods`` are those of the same files. A site belongs to the
+    innermost method whose lines hold it; a site outside every method, so also one in the body of
+    a test or mock, is left out. A name repeated on one line counts once, a method's own
+    head isn't a call. Calls inside template literals and in continued block comments without a
+    leading star aren't told apart from text.
+
+    The names are found inside the array of lines, so only sites become rows, never the text. They
+    meet the methods by bins of lines; the innermost is an aggregate with a map-side half.
+    """
+    code = F.transform(tx.split_lines(F.col("content")), _code_of_line)
+    pattern, words = F.lit(None).cast("string"), F.array().cast("array<string>")
+    for is_lang, expression in _per_language(CALL_SITES):
+        pattern = F.when(is_lang, "(?U)" + expression).otherwise(pattern)
+    for is_lang, known in _per_language(NOT_A_CALL):
+        words = F.when(is_lang, F.array(*map(F.lit, known))).otherwise(words)
+
+    def names(line: Column) -> Column:
+        found = F.regexp_extract_all(F.regexp_replace(line, "(?U)" + DEFINED_NAME, ";"), F.col("pattern"), F.lit(1))
+        return F.array_except(found, F.col("words"))
+
+    sites = F.filter(
+        F.transform(code, lambda line, at: F.struct((at + 1).alias("line"), names(line).alias("names"))),
+        lambda site: F.size(site["names"]) > 0,
+    )
+    ruled = (
+        files.select("*", pattern.alias("pattern"), words.alias("words"))
+        .where(F.col("pattern").isNotNull())
+        .withColumn("service_id", F.col("repo_id"))
+    )
+    lined = tx.exploded(ruled, ["service_id", "file_path"], sites, "site")
+    each = tx.exploded(
+        lined.withColumn("line", F.col("site.line")), ["service_id", "file_path", "line"], F.col("site.names"), "callee_name"
+    )
+    spans = methods.select(
+        "service_id", "file_path", "method_id", "line_start", "line_end", F.col("name").alias("method_name")
+    )
+    inside = overlap_join(
+        each.withColumn("line_last", F.col("line")), spans, ["service_id", "file_path"], ("line", "line_last")
+    )
+    innermost = F.struct("line_start", (-F.col("line_end")).alias("shorter"), "method_id")
+    is_head = (F.col("callee_name") == F.col("method_name")) & (F.col("line") == F.col("line_start"))
+    return (
+        inside.groupBy("service_id", "file_path", "line", "callee_name")
+        .agg(F.max_by("method_id", innermost).alias("caller_id"), F.max(is_head).alias("is_head"))
+        .where(~F.col("is_head"))
+        .select("service_id", "file_path", "caller_id", "callee_name", "line")
+    )
+
+
 def parsed_methods_and_calls(
-    files: DataFrame, grammar: Grammar | None = None
+    files: DataFrame, grammar: Grammar | None = None, settle: Settle = _unsettled, name: str = "parsed"
 ) -> tuple[DataFrame, DataFrame]:
     """Methods and call sites of files that a real parser reads, Python unless told otherwise."""
-    facts = files.select(
-        "repo_id", "file_path",
-        parsed_facts(grammar)(F.col("parser"), F.col("content")).alias("facts"),
+    facts = settle(
+        files.select(
+            "repo_id", "file_path",
+            parsed_facts(grammar)(F.col("parser"), F.col("content")).alias("facts"),
+        ),
+        name,
     )
     methods = tx.exploded(facts, ["repo_id", "file_path"], F.col("facts.methods"), "m").select(
         _method_id(F.col("m.full_name")).alias("method_id"),
@@ -553,23 +673,34 @@ def extract_methods(
     grammar: Grammar | None = None,
     grammar_parsers: Sequence[str] = (),
     body_limit: int | None = BODY_LIMIT,
+    builtins: DataFrame | None = None,
+    settle: Settle = _unsettled,
 ) -> tuple[DataFrame, DataFrame]:
     """Methods and call sites of all files (``repo_id, file_path, content``).
 
     Files of ``grammar_parsers`` go to ``grammar``, other Python files to Python's own parser,
     the rest is matched by line. A method defined twice under one id keeps its last definition.
+    Calls of a name in ``builtins(parser, callee_name)`` are left out. ``settle(rows, name)``
+    writes what methods and call sites share, so that no file is parsed twice.
     """
+    from codeloom.operators.calls import drop_builtins
     from codeloom.operators.keyed import keep_last
 
     known = with_parser(files)
     by_grammar = F.col("parser").isin(list(grammar_parsers)) if grammar_parsers else F.lit(False)
     rest = known.where(~by_grammar)
-    methods, calls = parsed_methods_and_calls(rest.where(F.col("parser") == "python"))
-    other = scripted_methods(rest, body_limit)
+    methods, calls = parsed_methods_and_calls(rest.where(F.col("parser") == "python"), settle=settle)
+    other = settle(scripted_methods(rest, body_limit), "scripted")
     in_cpp = parser_of(F.col("file_path")) == "cpp"
     methods = methods.unionByName(other)
     calls = calls.unionByName(cpp_calls(rest, other.where(in_cpp)))
+    calls = calls.unionByName(script_calls(rest, other.where(~in_cpp)))
     if grammar_parsers:
-        more_methods, more_calls = parsed_methods_and_calls(known.where(by_grammar), grammar)
+        more_methods, more_calls = parsed_methods_and_calls(
+            known.where(by_grammar), grammar, settle, "parsed_by_grammar"
+        )
         methods, calls = methods.unionByName(more_methods), calls.unionByName(more_calls)
+    if builtins is not None:
+        told = calls.withColumn("parser", parser_of(F.col("file_path")))
+        calls = drop_builtins(told, builtins.select("parser", "callee_name")).select(*calls.columns)
     return keep_last(methods, ["method_id"], "line_start", "line_end"), calls

@@ -879,3 +879,17 @@ def cpp_calls(spark: SparkSession, sf: str) -> DataFrame:
     files = definitions.with_parser(scripted_sources(spark, sf)).where(F.col("parser") == "cpp")
     found = definitions.cpp_calls(files, definitions.scripted_methods(files))
     return wide_ints(found.select("caller_id", "callee_name", "line"))
+
+
+@query(
+    f"""WITH {_SCRIPTED},
+    c AS (SELECT f || CASE t WHEN 'STANDARD' THEN '.go::Load' || k WHEN 'MEDIUM' THEN '.ts::S' || k || '.run'
+                      WHEN 'PROMO' THEN '.java::load' || k ELSE '.rs::load_' || k END AS caller_id,
+                 n, CASE t WHEN 'MEDIUM' THEN 3 WHEN 'SMALL' THEN 2 ELSE 4 END AS first
+          FROM p WHERE t IN ('STANDARD', 'MEDIUM', 'PROMO', 'SMALL'))
+    SELECT caller_id, 'y' AS callee_name, unnest(range(first, first + n)) AS line FROM c"""
+)
+def script_calls(spark: SparkSession, sf: str) -> DataFrame:
+    files = definitions.with_parser(scripted_sources(spark, sf))
+    found = definitions.script_calls(files, definitions.scripted_methods(files))
+    return wide_ints(found.select("caller_id", "callee_name", "line"))

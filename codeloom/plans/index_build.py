@@ -13,6 +13,7 @@ from codeloom import schema
 from codeloom.operators import calls as call_ops
 from codeloom.operators import changes as change_ops
 from codeloom.operators import chunking, definitions, encoding, keyed, linking
+from codeloom.operators.definitions import Parsing
 from codeloom.operators import services as service_ops
 from codeloom.settings import Settings
 from codeloom.sources import file_profile, ignore_rules, source_tree
@@ -146,9 +147,13 @@ def build(
     rebuild: bool = False,
     repo: str | None = None,
     progress: Progress = lambda message: None,
+    parsing: Parsing = Parsing(),
 ) -> dict[str, object]:
     """Full or incremental build; returns a summary of what was done.
 
+    ``parsing`` holds a parser library for further languages, the limit of a body's lines and a
+    table of built-in names that are no call targets.
+
     A rebuild forgets what is stored (of one repository, if named) and indexes every file; an
     incremental build indexes the files that changed. Both follow one order: text, chunks,
     graph, tracked files, meta. A build that dies is repeated by the next one, because its
@@ -178,7 +183,7 @@ def build(
         counts = change_ops.change_counts(changes).head().asDict()
         if not rebuild and not any(counts.values()):
             return {"status": "clean", "chunks_added": 0, "repos_rebuilt": 0}
-        calls = _apply(spark, index, settings, model, scan, changes, scratch, progress)
+        calls = _apply(spark, index, settings, model, scan, changes, scratch, progress, parsing)
         index.write_meta(
             embedding_model=model.name,
             last_build_at=time.time(),
@@ -219,6 +224,7 @@ def _apply(
     changes: DataFrame,
     scratch: Scratch,
     progress: Progress,
+    parsing: Parsing,
 ) -> dict[str, float]:
     """Index the changed files; returns the encoding statistics."""
     keys = changes.select("repo_id", "file_path")
@@ -245,7 +251,9 @@ def _apply(
 
     progress("linking methods")
     service_keys = keys.select(F.col("repo_id").alias("service_id"), "file_path")
-    methods, sites = definitions.extract_methods(text)
+    methods, sites = definitions.extract_methods(
+        text, parsing.grammar, parsing.grammar_parsers, parsing.body_limit, parsing.builtins, scratch.settle
+    )
     index.methods.replace(service_keys, methods)
     index.sites.replace(service_keys, sites)
 

@@ -65,6 +65,66 @@ def test_cpp_calls_resolve(scripted):
     assert all(a != b for a, b in edges)
 
 
+CALLING = {
+    "a.ts": (
+        "import { z } from 'q'\nexport function outer(a) {\n  const inner = (b) => {\n    return deep(b) + inner.size()\n  }\n"
+        "  // gone(1)\n  return new Box<string>(a).open?.(inner(a), 'text(2)')\n}\nfree(1)\nfunction test_a() {\n  lost()\n}\n",
+        {("inner", "deep", 4), ("inner", "size", 4), ("outer", "Box", 7), ("outer", "open", 7), ("outer", "inner", 7)},
+    ),
+    "b.go": (
+        "func (s *S) Run(a int) {\n\tgo func() {\n\t\ts.store.Put(Key[int](a))\n\t}()\n\tif ok(a) { }\n}\n",
+        {("Run", "Put", 3), ("Run", "Key", 3), ("Run", "ok", 5)},
+    ),
+    "C.java": (
+        "class C {\n  public int run(int a) {\n    @Named(\"x\") List<A> b = new ArrayList<>(a);\n    /* no(1) */ b.add(fill(a));\n"
+        "     * stale(2)\n    synchronized (b) { }\n    return b.size();\n  }\n}\n",
+        {("run", "ArrayList", 3), ("run", "add", 4), ("run", "fill", 4), ("run", "size", 7)},
+    ),
+    "d.cs": (
+        "class D\n{\n  public int Run(int a)\n  {\n    lock (x) { }\n    return Find<int>(a, '(');\n  }\n}\n",
+        {("Run", "Find", 6)},
+    ),
+    "e.rs": (
+        "pub fn run<'a>(x: &'a str) -> X {\n}\npub fn go(x: &'static str, y: &'static str) -> X {\n    log!(\"f(1)\");\n"
+        "    X::of(x).iter().map(f).collect::<Vec<_>>()\n}\n",
+        {("go", "log", 4), ("go", "X::of", 5), ("go", "iter", 5), ("go", "map", 5), ("go", "collect", 5)},
+    ),
+    "f.rb": (
+        "class F\n  def run(u)\n    check u\n    save(u) if u.valid? # note(1)\n    x = 5\n    return u\n  end\nend\n",
+        {("run", "check", 3), ("run", "save", 4), ("run", "valid?", 4)},
+    ),
+    "g.php": (
+        "<?php\nclass G {\n  public function run($a) {\n    if (is_ok($a)) { }\n    return $this->load(Store::make($a), new Box('b(1)'));\n  }\n}\n",
+        {("run", "is_ok", 4), ("run", "load", 5), ("run", "make", 5), ("run", "Box", 5)},
+    ),
+}
+
+
+@pytest.fixture(scope="module")
+def calling(spark):
+    files = spark.createDataFrame([("svc", path, text) for path, (text, _) in CALLING.items()], FILES)
+    return files, definitions.extract_methods(files)[1].collect()
+
+
+@pytest.mark.parametrize("path", CALLING)
+def test_script_calls_belong_to_the_innermost_method(calling, path):
+    sites = {(s.caller_id.split("::", 2)[2], s.callee_name, s.line) for s in calling[1] if s.file_path == path}
+    assert sites == CALLING[path][1]
+
+
+def test_builtin_names_are_no_calls(spark, calling):
+    builtins = spark.createDataFrame([("java", "add"), ("go", "size")], "parser string, callee_name string")
+    sites = definitions.extract_methods(calling[0], builtins=builtins)[1].collect()
+    assert {(s.file_path, s.callee_name) for s in calling[1]} - {(s.file_path, s.callee_name) for s in sites} == {("C.java", "add")}
+
+
+def test_script_calls_of_empty_and_very_long_lines(spark):
+    rows = [("s", "a.go", ""), ("s", "b.go", None), ("s", "c.js", "function a() {\n" + "'" * 99_999 + "f(" * 100_000 + "\n}\n")]
+    files = spark.createDataFrame(rows, FILES)
+    assert [(s.callee_name, s.line) for s in definitions.extract_methods(files)[1].collect()] == [("f", 2)]
+    assert definitions.extract_methods(files.where("false"))[1].collect() == []
+
+
 def test_long_body_is_given_up(spark):
     rows = [("s", "a.go", "func A() {\n" + "x\n" * 499 + "}\n"), ("s", "b.go", "func B() {\n" + "x\n" * 498 + "}\n")]
     methods, _ = definitions.extract_methods(spark.createDataFrame(rows, FILES))
