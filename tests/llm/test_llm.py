@@ -297,6 +297,25 @@ def test_secret_scan(spark, hard, empty):
     assert all(r.length >= 16 for r in secret_scan.scan(hard).collect())
 
 
+def test_secret_scan_judges_the_value_not_only_its_name(spark):
+    digest = "0123456789abcdef0123456789abcdef01234567"
+    texts = [f'use token = "{digest[i % 9:]}{i:04d}" here' for i in range(40)]
+    texts += [f'password = "hunt{i}r!" end' for i in range(10, 30)] + ["plain words about locks and doors"] * 40
+    texts += ["key = /usr/local/share/Certs/file0123", 'password = "YOUR_PASSWORD_HERE_1234"', 'password = "hunter2!"', "token: short"]
+    got = secret_scan.scan(spark.createDataFrame(rows_of(*texts), SCHEMA)).collect()
+    verdict = {r.candidate: r.secret for r in got}
+    assert verdict["hunter2!"], [r for r in got if len(r.candidate) == 8]
+    assert not verdict["/usr/local/share/Certs/file0123"] and not verdict["YOUR_PASSWORD_HERE_1234"]
+    assert all(r.secret for r in got if r.doc_id < 60) and len({r.doc_id for r in got if r.doc_id < 60}) == 60
+    assert "short" not in verdict and len(got) == 63
+
+
+def test_secret_scan_counts_repeated_dictionary_words(spark):
+    found = secret_scan.candidates(spark.createDataFrame(rows_of("wordy-wordy-wordy-1"), SCHEMA))
+    row = secret_scan.measured(found, ["wordy"]).first()
+    assert row.dictionary_share == 15 / 19
+
+
 def test_secret_scan_counts_all_texts_and_measures_whole_candidates(spark):
     texts = ["common common", "common word", None, "Word"] + ["x" * 300 + "9" * 300]
     docs = spark.createDataFrame(rows_of(*texts), SCHEMA)
