@@ -75,7 +75,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     each = exploded(split, ["doc_id"], told, "x").select("doc_id", "x.*")
     given_here = F.when(F.contains("word", "given"), F.col("given")).otherwise("")
     runs = F.filter(F.regexp_extract_all("word", F.lit(run), 0), lambda c: c.rlike("[0-9A-Z]"))
-    apart = F.filter(runs, lambda c: ~F.contains(c, F.col("given")) & ~F.contains(F.col("given"), c))
+    apart = F.filter(runs, lambda c: ~F.contains(c, F.col("given")) & ~F.startswith(F.col("given"), c))
     parts = F.when(F.col("given") == "", runs).otherwise(F.concat(apart, F.array("given")))
     found = each.withColumn("given", given_here).withColumn("parts", parts)
     return exploded(found, ["doc_id", "place", "word", "before"], F.col("parts"), "candidate")

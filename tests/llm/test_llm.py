@@ -310,6 +310,11 @@ def test_secret_scan_judges_the_value_not_only_its_name(spark):
     assert "short" not in verdict and len(got) == 63
 
 
+def test_secret_scan_keeps_runs_beside_an_assigned_value(spark):
+    found = secret_scan.candidates(spark.createDataFrame(rows_of("see x?key=Aaaaaaaa1&next=Bbbbbbbbbbbb23456 now"), SCHEMA)).collect()
+    assert {r.candidate for r in found} == {"Aaaaaaaa1&next=Bbbbbbbbbbbb23456", "next=Bbbbbbbbbbbb23456"}
+
+
 def test_secret_scan_counts_repeated_dictionary_words(spark):
     found = secret_scan.candidates(spark.createDataFrame(rows_of("wordy-wordy-wordy-1"), SCHEMA))
     row = secret_scan.measured(found, ["wordy"]).first()
