@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 # The line terminators of Python's str.splitlines.
 LINE_END = r"(?:\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029])"
+RARE_LINE_END = r"[\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 # Words counted to tell writes from reads after a connection call.
 WRITE_WORDS = ("insert", "update", ".save", ".create", "publish", "send")
@@ -25,6 +26,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def replaced_if(wanted: Column, text: Column, pattern: str, by: str) -> Column:
+    """``text`` with a pattern replaced where ``wanted`` holds: a cheap test that spares the pattern."""
+    return let(text, lambda t: F.when(wanted, F.regexp_replace(t, pattern, by)).otherwise(t))
+
+
 def exploded(rows: DataFrame, keep: Sequence[str], array: Column, name: str) -> DataFrame:
     """One row per array element, none for an empty array.
 
@@ -37,8 +43,12 @@ def exploded(rows: DataFrame, keep: Sequence[str], array: Column, name: str) ->
 def split_lines(text: Column) -> Column:
     """Lines of a text; a final terminator opens no further line, '' has no lines."""
     body = F.regexp_replace(text, LINE_END + r"\z", "")
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(
-        F.split(body, LINE_END, -1)
+    # Most texts know one terminator only, which needs no pattern.
+    unended = F.when(text.endswith("\n"), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
+    return (
+        F.when(text == "", F.array().cast("array<string>"))
+        .when(text.rlike(RARE_LINE_END), F.split(body, LINE_END, -1))
+        .otherwise(F.split(unended, "\n", -1))
     )
 
 
@@ -87,14 +97,15 @@ def blank_code(text: Column) -> Column:
 
     The loops are possessive: the two alternatives of a string body cannot overlap, so
     nothing is lost, and a long unterminated literal cannot exhaust the regex stack.
+    No step adds a mark that the text has not, so a step whose mark is missing is skipped.
     """
     out = text
     for quote in ('"', "'", "`"):
         literal = rf"(?<!\\){quote}[^{quote}\\]*+(?:\\[^\n][^{quote}\\]*+)*+{quote}"
-        out = F.regexp_replace(out, literal, quote * 2)
-    out = F.regexp_replace(out, r"//[^\n]*", "")
-    out = F.regexp_replace(out, r"#[^\n]*", "")
-    return F.regexp_replace(out, r"(?s)/\*.*?\*/", "")
+        out = replaced_if(text.contains(quote), out, literal, quote * 2)
+    out = replaced_if(text.contains("//"), out, r"//[^\n]*", "")
+    out = replaced_if(text.contains("#"), out, r"#[^\n]*", "")
+    return replaced_if(text.contains("/*"), out, r"(?s)/\*.*?\*/", "")
 
 
 def _first_group(text: Column, pattern: str, group: int) -> Column:
@@ -103,7 +114,9 @@ def _first_group(text: Column, pattern: str, group: int) -> Column:
 
 
 def base_name(path: Column) -> Column:
-    return F.regexp_extract(path, r"([^/]*)/*$", 1)
+    # The pattern is for the few paths whose end isn't a name's.
+    plain = ~F.right(path, F.lit(1)).isin("/", "\n", "\r", "\x85", "\u2028", "\u2029")
+    return F.when(plain, F.substring_index(path, "/", -1)).otherwise(F.regexp_extract(path, r"([^/]*)/*$", 1))
 
 
 def stem(path: Column) -> Column:

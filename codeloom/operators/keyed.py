@@ -6,8 +6,9 @@ holds a third of the rows reaches its reducer as one row per task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,38 @@ def keep_best(
     return _pick(rows, keys, F.struct(*order))
 
 
+#: Rows a task holds while it combines texts by key.
+COMBINED_ROWS = 100_000
+
+
+def largest_text(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """``keys, value`` with the largest text ``value`` (in byte order) of each key; all are strings.
+
+    Spark sorts all rows of a task before it aggregates texts. Each task first combines its
+    rows by key in Arrow, a bounded number at a time, so that only the rest is sorted.
+    """
+    names = [*keys, value]
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= COMBINED_ROWS:
+                yield from combined(held)
+                held, size = [], 0
+        if held:
+            yield from combined(held)
+
+    def combined(batches: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        best = pa.Table.from_batches(batches).group_by(list(keys)).aggregate([(value, "max")])
+        return best.rename_columns(names).to_batches()
+
+    layout = ", ".join(f"`{n}` string" for n in names)
+    few = rows.select(*names).mapInArrow(combine, layout)
+    return few.groupBy(*keys).agg(F.max(value).alias(value))
+
+
 def upsert(
     table: DataFrame, changes: DataFrame, keys: Sequence[str], *order: str | Column
 ) -> DataFrame:

@@ -186,11 +186,14 @@ def _pattern_hits(patterns: dict, code: Column, describe) -> Column:
     return F.transform(found, lambda hit: describe(hit["kind"], hit["position"]))
 
 
-def _found(pattern: str, where: Column | None = None) -> Column:
-    """Distinct first groups of a pattern in a file, none where the file does not qualify."""
+def _found(pattern: str, needles: tuple[str, ...], where: Column) -> Column:
+    """Distinct first groups of a pattern in a file, none where the file does not qualify.
+
+    Every match holds one of the ``needles``; files without any skip the pattern.
+    """
     texts = F.array_distinct(F.regexp_extract_all("content", F.lit(pattern), F.lit(1)))
     none = F.array().cast("array<string>")
-    return texts if where is None else F.when(where, texts).otherwise(none)
+    return F.when(_contains_any("content", needles) & where, texts).otherwise(none)
 
 
 def file_facts(files: DataFrame) -> DataFrame:
@@ -228,28 +231,34 @@ def file_facts(files: DataFrame) -> DataFrame:
             ),
         )
 
+    def where_named(patterns: dict, hits: Callable[[Column], Column]) -> Column:
+        """The hits, none at once where the code holds no pattern."""
+        named = _by_language(patterns, lambda entries: _contains_any("code", tuple(p for p, _ in entries)))
+        none = F.array().cast("array<struct<kind:string,name:string,direction:string>>")
+        return F.when(~named, none).otherwise(tx.let(F.col("code"), hits))
+
     client = _by_language(HTTP_CALLS, lambda needles: _contains_any("code", needles))
     reads_env = _contains_any("content", ENV_READS)
     name = tx.base_name(F.col("file_path"))
     is_manifest = name.isin(list(MANIFESTS))
     is_code = tx.suffix(F.col("file_path")).isin(list(IMPORTING_SUFFIXES))
-    pinned = _found(r" ([^\s\"'=]+)==", is_manifest)
-    quoted = [_found(rf"(?={q}([^{q}\n]+){q})", is_manifest) for q in ('"', "'")]
+    pinned = _found(r" ([^\s\"'=]+)==", ("==",), is_manifest)
+    quoted = [_found(rf"(?={q}([^{q}\n]+){q})", (q,), is_manifest) for q in ('"', "'")]
     scanned = files.withColumn("code", tx.blank_code(content))
     calls_out = reads_env | F.coalesce(client, F.lit(False))
     return scanned.select(
         "repo_id",
         "file_path",
-        tx.let(F.col("code"), stores).alias("stores"),
-        tx.let(F.col("code"), queues).alias("queues"),
-        _found(URL_HOST, calls_out).alias("hosts"),
+        where_named(DATABASE_CALLS, stores).alias("stores"),
+        where_named(QUEUE_CALLS, queues).alias("queues"),
+        _found(URL_HOST, ("://",), calls_out).alias("hosts"),
         F.filter(
-            _found(ENV_VARIABLE, reads_env), lambda v: v.rlike("|".join(ADDRESS_WORDS))
+            _found(ENV_VARIABLE, ADDRESS_WORDS, reads_env), lambda v: v.rlike("|".join(ADDRESS_WORDS))
         ).alias("variables"),
-        _found(RPC_NAME, calls_out).alias("rpc_names"),
+        _found(RPC_NAME, ("call_edge_function", "functions.invoke"), calls_out).alias("rpc_names"),
         F.array_distinct(F.concat(*quoted, pinned)).alias("quoted"),
-        _found(r"(?:from|import)\s+(?=([^\n]+))", is_code).alias("imported"),
-        _found(r"(?:import|require)([^\n]+)", is_code).alias("mentioned"),
+        _found(r"(?:from|import)\s+(?=([^\n]+))", ("from", "import"), is_code).alias("imported"),
+        _found(r"(?:import|require)([^\n]+)", ("import", "require"), is_code).alias("mentioned"),
     )
 
 
@@ -384,7 +393,7 @@ def rpc_edges(facts: DataFrame, paths: DataFrame) -> DataFrame:
         .agg(F.min("service_id").alias("second"))
     )
     target = F.when(F.col("first") != F.col("repo_id"), F.col("first")).otherwise(F.col("second"))
-    joined = sites.join(first, "name").join(second, "name", "left").withColumn("target", target)
+    joined = sites.join(first.join(second, "name", "left"), "name").withColumn("target", target)
     return joined.where(F.col("target").isNotNull()).select(
         F.col("repo_id").alias("source_id"),
         F.col("target").alias("target_id"),
@@ -474,7 +483,7 @@ def link(facts: DataFrame, services: DataFrame, paths: DataFrame) -> tuple[DataF
     ``services`` and ``paths`` (``repo_id, file_path``) are those of all repositories: what facts
     may point to. Of edges with the same triple one is kept, the last by its note.
     """
-    from codeloom.operators.keyed import keep_last
+    from codeloom.operators.keyed import largest_text
 
     stores, queues = datastore_edges(facts), queue_edges(facts)
     columns = ["source_id", "target_id", "kind", "metadata"]
@@ -488,11 +497,8 @@ def link(facts: DataFrame, services: DataFrame, paths: DataFrame) -> tuple[DataF
         import_edges(facts, services),
     ):
         edges = edges.unionByName(more.select(*columns))
-    unique = keep_last(
-        edges.withColumn("_note", F.to_json("metadata")).drop("metadata"),
-        ["source_id", "target_id", "kind"],
-        "_note",
-    ).select(
+    noted = edges.select("source_id", "target_id", "kind", F.to_json("metadata").alias("_note"))
+    unique = largest_text(noted, ["source_id", "target_id", "kind"], "_note").select(
         "source_id", "target_id", "kind",
         F.from_json("_note", "map<string,string>").alias("metadata"),
     )

@@ -3,7 +3,7 @@ import time
 
 import pytest
 
-from codeloom.operators import containment, services
+from codeloom.operators import containment, keyed, services
 from codeloom.operators.containment import containing, contains_join
 from codeloom.sources import ignore_rules
 
@@ -123,3 +123,23 @@ def test_needles_beyond_one_automaton_are_all_found(spark, monkeypatch):
     needles = spark.createDataFrame([(n,) for n in ("abc", "cd", "def", "bcde", "x", "q", "longer than a shard")], "n string")
     got = {tuple(r) for r in containment.contains_join(texts, needles, "t", "n").collect()}
     assert got == {("abcdef", "abc"), ("abcdef", "cd"), ("abcdef", "def"), ("abcdef", "bcde"), ("cdx", "cd"), ("cdx", "x")}
+
+
+def test_largest_text_of_each_key_over_many_batches(spark, monkeypatch):
+    monkeypatch.setattr(keyed, "COMBINED_ROWS", 3)
+    rows = [("a", "x", "b"), ("a", "x", "é"), ("a", "x", "z"), (None, "x", "1"), (None, "x", None), ("b", "x", None), ("a", "y", "")] * 4
+    best = keyed.largest_text(spark.createDataFrame(rows, "k string, l string, note string"), ["k", "l"], "note")
+    assert {tuple(r) for r in best.collect()} == {("a", "x", "é"), (None, "x", "1"), ("b", "x", None), ("a", "y", "")}
+    assert best.count() == 4
+
+
+def test_edges_are_combined_before_they_are_sorted(spark):
+    files = spark.createDataFrame(
+        [("a", f"f{i}.ts", "await sb.functions.invoke('job', {}); fetch(process.env.X)", "typescript") for i in range(3)],
+        "repo_id string, file_path string, content string, service_language string",
+    )
+    paths = spark.createDataFrame([("b", "src/job.py")], "repo_id string, file_path string")
+    edges = services.link(services.file_facts(files), spark.createDataFrame([("a",), ("b",)], "service_id string"), paths)[1]
+    assert [(e.source_id, e.target_id, e.metadata["file"]) for e in edges.collect()] == [("a", "b", "f2.ts")]
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert "max_by" not in plan and "combine" in plan
