@@ -2,17 +2,21 @@
 
 Python goes through its own parser inside a vectorised function. The other languages are
 matched line by line with built-in expressions: one pass over the lines finds definition
-heads, a running brace (or ``end``) depth per file finds where each body closes.
+heads, a running brace (or ``end``) depth per file, in Arrow, finds where each body closes.
 """
 
 from __future__ import annotations
 
 import ast
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,13 +47,14 @@ SUFFIX_PARSER = {
 }
 
 # Definition heads per language, tried in this order on one line.
-# (languages, pattern, group with the name, group with a class prefix or 0, kind)
+# (languages, pattern, group with the name, group with a class prefix or 0, kind, texts every match
+# holds: a line without one of them skips the pattern)
 _JS = ("javascript", "typescript", "tsx")
 HEADS = (
-    (_JS, r"^\s*export\s+default\s+(?:async\s+)?function\s*([\w$]*)\s*[<(]", 1, 0, "default"),
-    (_JS, r"^\s*export\s+(?:async\s+)?function\s+([\w$]+)\s*[<(]", 1, 0, "function"),
-    (_JS, r"^\s*(?:export\s+)?async\s+function\s+([\w$]+)\s*[<(]", 1, 0, "function"),
-    (_JS, r"^\s*(?:export\s+)?function\s+([\w$]+)\s*[<(]", 1, 0, "function"),
+    (_JS, r"^\s*export\s+default\s+(?:async\s+)?function\s*([\w$]*)\s*[<(]", 1, 0, "default", ("default", "function")),
+    (_JS, r"^\s*export\s+(?:async\s+)?function\s+([\w$]+)\s*[<(]", 1, 0, "function", ("export", "function")),
+    (_JS, r"^\s*(?:export\s+)?async\s+function\s+([\w$]+)\s*[<(]", 1, 0, "function", ("async", "function")),
+    (_JS, r"^\s*(?:export\s+)?function\s+([\w$]+)\s*[<(]", 1, 0, "function", ("function",)),
     (
         _JS,
         r"^\s*export\s+(?:const|let|var)\s+([\w$]+)\s*=\s*(?:async\s+)?"
@@ -57,6 +62,7 @@ HEADS = (
         1,
         0,
         "function",
+        ("export", "=>"),
     ),
     (
         _JS,
@@ -65,6 +71,7 @@ HEADS = (
         1,
         0,
         "function",
+        ("=>",),
     ),
     (
         _JS,
@@ -73,14 +80,16 @@ HEADS = (
         1,
         0,
         "member",
+        ("{", ")"),
     ),
-    (("go",), r"^func\s+(?:\([^)]+\)\s+)?(\w+)\s*\(", 1, 0, "function"),
+    (("go",), r"^func\s+(?:\([^)]+\)\s+)?(\w+)\s*\(", 1, 0, "function", ("func",)),
     (
         ("java",),
         r"(?:public|private|protected|static|\s)[\w<>\[\]]+\s+(\w+)\s*\([^)]*\)\s*\{?",
         1,
         0,
         "function",
+        ("(", ")"),
     ),
     (
         ("csharp",),
@@ -89,15 +98,17 @@ HEADS = (
         1,
         0,
         "function",
+        ("(", ")"),
     ),
-    (("rust",), r"^\s*(?:pub\s+)?(?:async\s+)?fn\s+(\w+)\s*\(", 1, 0, "function"),
-    (("ruby",), r"^\s*def\s+(?:self\.)?(\w+)", 1, 0, "function"),
+    (("rust",), r"^\s*(?:pub\s+)?(?:async\s+)?fn\s+(\w+)\s*\(", 1, 0, "function", ("fn",)),
+    (("ruby",), r"^\s*def\s+(?:self\.)?(\w+)", 1, 0, "function", ("def",)),
     (
         ("php",),
         r"^\s*(?:(?:public|private|protected|static|final)\s+)*function\s+(\w+)\s*\(",
         1,
         0,
         "function",
+        ("function",),
     ),
     (
         ("cpp",),
@@ -107,6 +118,7 @@ HEADS = (
         2,
         1,
         "member",
+        ("(", ")"),
     ),
 )
 
@@ -300,14 +312,14 @@ def _head(line: Column) -> Column:
             (found["name"] != "") & ~_rejected(found["name"], langs), found
         )
 
-    for langs, pattern, group, prefix_group, kind in HEADS:
+    for langs, pattern, group, prefix_group, kind, needs in HEADS:
         pattern = "(?U)" + pattern
         raw = F.regexp_extract(searched, pattern, group)
         if kind == "default":
             unnamed = (raw == "") & searched.rlike(pattern)
             raw = F.when(unnamed, tx.stem(F.col("file_path"))).otherwise(raw)
         prefix = F.regexp_extract(searched, pattern, prefix_group) if prefix_group else F.lit("")
-        applies = F.col("parser").isin(list(langs))
+        applies = reduce(lambda a, b: a & b, map(searched.contains, needs), F.col("parser").isin(list(langs)))
         if langs in (("java",), ("csharp",)):
             applies = applies & ~line.contains("class ")
         found = F.struct(raw.alias("name"), prefix.alias("prefix"), F.lit(kind).alias("kind"))
@@ -319,7 +331,8 @@ def _class_head(line: Column) -> Column:
     found = F.lit(None).cast("string")
     for is_lang, pattern in _per_language(CLASS_HEADS):
         name = F.regexp_extract(line, "(?U)" + pattern, 1)
-        found = F.when(is_lang & (name != ""), name).otherwise(found)
+        may_be = is_lang & (line.contains("class") | line.contains("struct"))
+        found = F.when(may_be & (name != ""), name).otherwise(found)
     return found
 
 
@@ -329,9 +342,11 @@ def _before_comment(line: Column, mark: str = "//") -> Column:
 
 def _braces(line: Column) -> Column:
     """The braces of a line outside strings and comments, e.g. '}{'."""
-    code = F.regexp_replace(_before_comment(line), r"([\"'])(?:.*?(?<!\\)\1|.*$)", "")
-    kept = F.regexp_replace(code, r"[^{}]", "")
-    return F.when(F.ltrim(line).startswith("*") | F.ltrim(line).startswith("/*"), "").otherwise(kept)
+    quoted = line.contains('"') | line.contains("'")
+    code = tx.replaced_if(quoted, _before_comment(line), r"([\"'])(?:.*?(?<!\\)\1|.*$)", "")
+    kept = F.regexp_replace(code, r"[^{}]+", "")
+    none = ~(line.contains("{") | line.contains("}"))
+    return F.when(none | F.ltrim(line).startswith("*") | F.ltrim(line).startswith("/*"), "").otherwise(kept)
 
 
 def _depth_after(braces: Column, count: Column) -> Column:
@@ -346,13 +361,11 @@ def _line_depths(line: Column) -> Column:
 
     def braced(braces: Column) -> Column:
         length = F.length(braces)
-        places = F.filter(
-            F.when(length > 0, F.sequence(F.lit(1), length)).otherwise(none),
-            lambda i: F.substring(braces, i, F.lit(1)) == "}",
-        )
+        places = F.filter(F.sequence(F.lit(1), length), lambda i: F.substring(braces, i, F.lit(1)) == "}")
+        closes = F.transform(places, lambda i: _depth_after(braces, i))
         return F.struct(
             _depth_after(braces, length).alias("delta"),
-            F.transform(places, lambda i: _depth_after(braces, i)).alias("closes"),
+            F.when(~braces.contains("}"), none).when(braces == "{}", F.array(F.lit(0))).otherwise(closes).alias("closes"),
         )
 
     opened = F.regexp_count(_before_comment(line, "#"), F.lit(RUBY_OPENER))
@@ -365,13 +378,14 @@ def _line_depths(line: Column) -> Column:
     return F.when(F.col("parser") == "ruby", ended).otherwise(tx.let(_braces(line), braced))
 
 
-def _scanned_lines(files: DataFrame) -> DataFrame:
-    """Lines that matter to the method graph: heads, class heads, depth changes.
+def _scanned_files(files: DataFrame) -> DataFrame:
+    """``repo_id, file_path, lines``: per file the lines that matter to the method graph.
 
-    ``brace_lag`` is the offset of the line with the opening brace from its head (0 for
-    Ruby), NULL where no body opens; ``lead_depth`` is the depth change between the two.
-    The lines are matched inside their array, so each expression runs once per line and
-    only the few lines that matter become rows, without the text.
+    These are heads, class heads and depth changes. ``lag`` is the offset of the line with the
+    opening brace from its head (0 for Ruby), NULL where no body opens; ``lead`` is the depth
+    change between the two.
+    The lines are matched inside their array, so each expression runs once per line, and only
+    the few that matter go on, without the text. Copies of a file are read as one.
     """
     is_ruby = F.col("parser") == "ruby"
 
@@ -431,70 +445,93 @@ def _scanned_lines(files: DataFrame) -> DataFrame:
             F.transform(lines, lambda line, at: scan(lines, line, at)), matters
         ),
     )
-    return tx.exploded(files, ["repo_id", "file_path", "parser"], scanned, "s").select(
-        "repo_id", "file_path", "parser", "s.line_no", "s.head", "s.class_head", "s.delta",
-        "s.closes", F.col("s.opening.lag").alias("brace_lag"),
-        F.col("s.opening.depth").alias("lead_depth"),
-    )
+    return _by_file(files, ["repo_id", "file_path"], scanned, "lines")
 
 
-def _bodies(scanned: DataFrame, body_limit: int | None) -> DataFrame:
-    """Heads with class context and ``line_end``.
+def _by_file(rows: DataFrame, keys: list[str], array: Column, name: str) -> DataFrame:
+    """One row per file with the elements of all its rows' arrays."""
+    each = rows.select(*keys, array.alias(name))
+    return each.groupBy(*keys).agg(F.flatten(F.collect_list(name)).alias(name))
+
+
+_BODIES = (
+    "repo_id string, file_path string, name string, prefix string, kind string, scope string, "
+    "head_line int, at int, opens boolean, nearest int"
+)
+
+
+def _lengths(lists: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+
+
+def _ints(values: pa.Array) -> np.ndarray:
+    return pc.fill_null(values, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
 
-    A body that opens at depth d closes on the first later line where a closer returns to d.
-    Heads and closers become events of one depth level, read from the end of the file, so the
-    nearest closer below a head is a running value. Everything is partitioned by file, one
-    shuffle of narrow rows; a file is bounded by the size limit of the scan.
+def _heads_and_closers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Scanned files to one row per head, with its class context and the nearest closer below.
+
+    A body that opens at depth d closes on the first line from there on where a closer returns
+    to d. All closers of a batch are sorted by file, depth and line, and each head looks up its place.
     """
-    file_key = ["repo_id", "file_path"]
-    downward = Window.partitionBy(*file_key).orderBy("line_no")
-    level = scanned.withColumn(
-        "depth",
-        F.coalesce(F.sum("delta").over(downward.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-    ).withColumn(
-        "scope",
-        F.last("class_head", True).over(downward.rowsBetween(Window.unboundedPreceding, 0)),
-    )
-    depth = F.col("depth").cast("int")
-    nothing = F.lit(None)
-    closers = F.transform(
-        F.array_distinct("closes"),
-        lambda c: F.struct(
-            (depth + c).alias("level"),
-            F.col("line_no").alias("at"),
-            F.col("line_no").alias("close"),
-            nothing.cast("int").alias("head_line"),
-            nothing.cast("struct<name:string,prefix:string,kind:string>").alias("head"),
-            nothing.cast("string").alias("scope"),
-        ),
-    )
-    opener = F.array(
-        F.struct(
-            (depth + F.coalesce("lead_depth", F.lit(0))).cast("int").alias("level"),
-            (F.col("line_no") + F.coalesce("brace_lag", F.lit(0))).alias("at"),
-            nothing.cast("int").alias("close"),
-            F.col("line_no").alias("head_line"),
-            F.col("head").alias("head"),
-            F.col("scope").alias("scope"),
+    for batch in batches:
+        lines = batch.column("lines")
+        flat = lines.flatten()
+        if not len(flat):
+            continue
+        file = np.repeat(np.arange(batch.num_rows), _lengths(lines))
+        order = np.lexsort((_ints(flat.field("line_no")), file))
+        flat, file = flat.take(pa.array(order)), file[order]
+        line_no, delta = _ints(flat.field("line_no")), _ints(flat.field("delta"))
+        first = np.searchsorted(file, file)
+        before = np.cumsum(delta) - delta
+        depth = before - before[first]
+
+        classes = flat.field("class_head")
+        last = np.maximum.accumulate(np.where(classes.is_valid(), np.arange(len(file)), -1))
+        heads = np.flatnonzero(flat.field("head").is_valid())
+        scope = classes.take(pa.array(last[heads], mask=last[heads] < first[heads]))
+
+        lag = flat.field("opening").field("lag").take(pa.array(heads))
+        lead = flat.field("opening").field("depth").take(pa.array(heads))
+        at, level = line_no[heads] + _ints(lag), depth[heads] + _ints(lead)
+        closes = flat.field("closes")
+        line_of = np.repeat(np.arange(len(file)), _lengths(closes))
+        closed = depth[line_of] + _ints(closes.flatten())
+        lowest = min(level.min(initial=0), closed.min(initial=0))
+        depths = max(level.max(initial=0), closed.max(initial=0)) - lowest + 1
+        end = max(line_no.max(), at.max(initial=0)) + 1
+        closers = np.sort((file[line_of] * depths + closed - lowest) * end + line_no[line_of])
+        wanted = (file[heads] * depths + level - lowest) * end + at
+        place = np.searchsorted(closers, wanted)
+        found = np.append(closers, -1)[place]
+        none = found // end != wanted // end
+
+        head = flat.field("head").take(pa.array(heads))
+        yield pa.RecordBatch.from_arrays(
+            [
+                *(batch.column(c).take(pa.array(file[heads])) for c in ("repo_id", "file_path")),
+                *(head.field(c) for c in ("name", "prefix", "kind")),
+                scope,
+                *(pa.array(v, pa.int32()) for v in (line_no[heads], at)),
+                lag.is_valid(),
+                pa.array(found % end, pa.int32(), mask=none),
+            ],
+            [c.split()[0] for c in _BODIES.split(", ")],
         )
-    )
-    events = level.select(
-        *file_key,
-        "parser",
-        "brace_lag",
-        F.explode(
-            F.when(F.col("head").isNotNull(), F.concat(closers, opener)).otherwise(closers)
-        ).alias("ev"),
-    ).select(*file_key, "parser", "brace_lag", "ev.*")
-    upward = Window.partitionBy(*file_key, "level").orderBy(
-        F.desc("at"), F.asc_nulls_last("close")
-    )
-    nearest = F.last("close", True).over(upward.rowsBetween(Window.unboundedPreceding, 0))
-    closed = events.withColumn("nearest", nearest).where(F.col("head").isNotNull())
-    in_reach = F.col("brace_lag").isNotNull() & F.col("nearest").isNotNull()
+
+
+def _bodies(scanned: DataFrame, body_limit: int | None) -> DataFrame:
+    """Heads with class context and ``line_end``, from the lines of whole files.
+
+    A file's lines stay in its row: nothing is sorted or numbered across rows, so a task holds a
+    batch of files, whatever number it reads. A file is bounded by the size limit of the scan.
+    """
+    heads = scanned.mapInArrow(_heads_and_closers, _BODIES)
+    in_reach = F.col("opens") & F.col("nearest").isNotNull()
     if body_limit is not None:
         in_reach = in_reach & (F.col("nearest") < F.col("at") + body_limit)
-    return closed.withColumn(
+    return heads.withColumn(
         "line_end", F.when(in_reach, F.col("nearest")).otherwise(F.col("head_line"))
     )
 
@@ -510,20 +547,20 @@ def _legacy_id(full_name: Column) -> Column:
 
 def scripted_methods(files: DataFrame, body_limit: int | None = BODY_LIMIT) -> DataFrame:
     """Methods of files matched by line, not parsed; input ``repo_id, file_path, parser, content``."""
-    heads = _bodies(_scanned_lines(files.where(F.col("parser") != "python")), body_limit)
-    member = F.col("head.kind") == "member"
-    own_prefix = F.when(F.col("head.prefix") != "", F.col("head.prefix"))
+    heads = _bodies(_scanned_files(files.where(F.col("parser") != "python")), body_limit)
+    member = F.col("kind") == "member"
+    own_prefix = F.when(F.col("prefix") != "", F.col("prefix"))
     class_name = F.when(member, F.coalesce(own_prefix, F.col("scope")))
-    full = F.concat_ws(".", class_name, F.col("head.name"))
+    full = F.concat_ws(".", class_name, F.col("name"))
     return heads.select(
         _method_id(full).alias("method_id"),
         _legacy_id(full).alias("legacy_id"),
         F.col("repo_id").alias("service_id"),
         "file_path",
         class_name.alias("class_name"),
-        F.col("head.name").alias("name"),
+        "name",
         full.alias("full_name"),
-        F.col("head.name").alias("signature"),
+        F.col("name").alias("signature"),
         F.lit(None).cast("string").alias("docstring"),
         F.col("head_line").alias("line_start"),
         "line_end",

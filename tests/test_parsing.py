@@ -211,3 +211,12 @@ def test_long_blank_lines_do_not_overflow(spark):
     frame = spark.createDataFrame([("r", lang, f"/a.{lang}", blank) for lang in ("java", "csharp")], "repo_id string, language string, file_path string, content string")
     for pattern in (head[1] for head in definitions.HEADS if {"java", "csharp"} & set(head[0])):
         assert frame.where(F.col("content").rlike(pattern)).count() == 0
+
+
+def test_bodies_are_matched_within_their_files(spark):
+    rows = [("s", "a.go", "func A() {\n}\n"), ("s", "a.go", "func A() {\n}\n"), (None, "b.go", "func B()\n{\n  if x { }\n}\n"), ("s", "c.go", None)]
+    files = definitions.with_parser(spark.createDataFrame(rows, FILES))
+    found = definitions.scripted_methods(files)
+    assert sorted((m.name, m.line_start, m.line_end) for m in found.collect()) == [("A", 1, 2), ("A", 1, 2), ("B", 1, 4)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan
