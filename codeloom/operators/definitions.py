@@ -593,20 +593,70 @@ def cpp_calls(files: DataFrame, methods: DataFrame) -> DataFrame:
 
 def _code_of_line(line: Column) -> Column:
     """A line with its strings emptied and without comments, by the parser's rules."""
-    quoted = F.regexp_replace(line, r"\"(?:[^\"\\]|\\.)*+\"", '""')
+    quoted = tx.replaced_if(line.contains('"'), line, r"\"(?:[^\"\\]|\\.)*+\"", '""')
     # A single quote also marks lifetimes in Rust, where only a character literal is a text.
-    plain = F.when(
-        F.col("parser").isin("rust", "go", "java", "csharp"), F.regexp_replace(quoted, r"'(?:\\[^']+|[^'\\])'", "''")
-    ).otherwise(F.regexp_replace(quoted, r"'(?:[^'\\]|\\.)*+'", "''"))
-    ticked = F.regexp_replace(plain, r"`(?:[^`\\]|\\.)*+`", "``")
-    hashed = F.when(F.col("parser").isin("ruby", "php"), F.regexp_replace(ticked, r"#.*", "")).otherwise(ticked)
-    whole = F.when(F.col("parser") == "ruby", hashed).otherwise(
-        F.regexp_replace(F.regexp_replace(hashed, r"/\*.*?\*/", " "), r"//.*|/\*.*", "")
-    )
+    marked, literal = line.contains("'"), F.col("parser").isin("rust", "go", "java", "csharp")
+    single = tx.replaced_if(marked & literal, quoted, r"'(?:\\[^']+|[^'\\])'", "''")
+    plain = tx.replaced_if(marked & ~literal, single, r"'(?:[^'\\]|\\.)*+'", "''")
+    ticked = tx.replaced_if(line.contains("`"), plain, r"`(?:[^`\\]|\\.)*+`", "``")
+    hashed = tx.replaced_if(line.contains("#") & F.col("parser").isin("ruby", "php"), ticked, r"#.*", "")
+    slashes = F.col("parser") != "ruby"
+    joined = tx.replaced_if(line.contains("/*") & slashes, hashed, r"/\*.*?\*/", " ")
+    whole = tx.replaced_if(line.contains("/") & slashes, joined, r"//.*|/\*.*", "")
     inside_comment = (F.col("parser") != "ruby") & F.ltrim(line).rlike(r"^\*(?:\s|/|$)")
     return F.when(inside_comment, "").otherwise(whole)
 
 
+_SITES = "service_id string, file_path string, caller_id string, callee_name string, line int"
+
+
+def _sites_in_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Files with their sites and spans to one row per call site inside a span."""
+    for batch in batches:
+        sites, spans = batch.column("sites").flatten(), batch.column("spans").flatten()
+        site_ends, span_ends = (np.cumsum(_lengths(batch.column(c))) for c in ("sites", "spans"))
+        line, names = sites.field("line").to_pylist(), sites.field("names")
+        start, end, method, head = (spans.field(i).to_pylist() for i in range(4))
+        counts = _lengths(names)
+        called, site_of = names.flatten(), np.repeat(np.arange(len(line)), counts)
+        name_ends = np.cumsum(counts)
+        owner, kept = np.full(len(line), -1, np.int64), np.ones(len(called), bool)
+        s = m = 0
+        for s_end, m_end in zip(site_ends, span_ends):
+            inner = sorted(range(m, m_end), key=lambda j: (start[j], -end[j], method[j]))
+            heads = {(start[j], head[j]) for j in inner}
+            starts = {start[j] for j in inner}
+            # A copy of a file repeats its lines; a name counts once per line.
+            copied, seen = len(set(line[s:s_end])) < s_end - s, set()
+            opened, at = [], 0
+            for r in sorted(range(s, s_end), key=line.__getitem__):
+                while at < len(inner) and start[inner[at]] <= line[r]:
+                    opened.append(inner[at])
+                    at += 1
+                while opened and end[opened[-1]] < line[r]:
+                    opened.pop()
+                if opened:
+                    owner[r] = opened[-1]
+                if copied or line[r] in starts:
+                    for i in range(name_ends[r] - counts[r], name_ends[r]):
+                        site = (line[r], called[i].as_py())
+                        kept[i] = site not in heads and site not in seen
+                        if copied:
+                            seen.add(site)
+            s, m = s_end, m_end
+        at = np.flatnonzero(kept & (owner[site_of] >= 0))
+        file = np.repeat(np.arange(batch.num_rows), _lengths(batch.column("sites")))[site_of[at]]
+        yield pa.RecordBatch.from_arrays(
+            [
+                *(batch.column(c).take(pa.array(file)) for c in ("service_id", "file_path")),
+                spans.field("method_id").take(pa.array(owner[site_of[at]])),
+                called.take(pa.array(at)),
+                sites.field("line").take(pa.array(site_of[at])),
+            ],
+            [c.split()[0] for c in _SITES.split(", ")],
+        )
+
+
 def script_calls(files: DataFrame, methods: DataFrame) -> DataFrame:
     """Call sites of the languages matched by line, C and C++ excepted.
 
@@ -616,8 +666,8 @@ def script_calls(files: DataFrame, methods: DataFrame) -> DataFrame:
     head isn't a call. Calls inside template literals and in continued block comments without a
     leading star aren't told apart from text.
 
-    The names are found inside the array of lines, so only sites become rows, never the text. They
-    meet the methods by bins of lines; the innermost is an aggregate with a map-side half.
+    The names are found inside the array of lines, never with the text. The sites of a file meet its
+    methods as two arrays of one row, where one walk over the lines finds the innermost.
     """
     code = F.transform(tx.split_lines(F.col("content")), _code_of_line)
     pattern, words = F.lit(None).cast("string"), F.array().cast("array<string>")
@@ -627,8 +677,9 @@ def script_calls(files: DataFrame, methods: DataFrame) -> DataFrame:
         words = F.when(is_lang, F.array(*map(F.lit, known))).otherwise(words)
 
     def names(line: Column) -> Column:
-        found = F.regexp_extract_all(F.regexp_replace(line, "(?U)" + DEFINED_NAME, ";"), F.col("pattern"), F.lit(1))
-        return F.array_except(found, F.col("words"))
+        defines = line.contains("fn") | line.contains("func") | line.contains("def")
+        code = tx.replaced_if(defines, line, "(?U)" + DEFINED_NAME, ";")
+        return F.array_except(F.regexp_extract_all(code, F.col("pattern"), F.lit(1)), F.col("words"))
 
     sites = F.filter(
         F.transform(code, lambda line, at: F.struct((at + 1).alias("line"), names(line).alias("names"))),
@@ -639,24 +690,10 @@ def script_calls(files: DataFrame, methods: DataFrame) -> DataFrame:
         .where(F.col("pattern").isNotNull())
         .withColumn("service_id", F.col("repo_id"))
     )
-    lined = tx.exploded(ruled, ["service_id", "file_path"], sites, "site")
-    each = tx.exploded(
-        lined.withColumn("line", F.col("site.line")), ["service_id", "file_path", "line"], F.col("site.names"), "callee_name"
-    )
-    spans = methods.select(
-        "service_id", "file_path", "method_id", "line_start", "line_end", F.col("name").alias("method_name")
-    )
-    inside = overlap_join(
-        each.withColumn("line_last", F.col("line")), spans, ["service_id", "file_path"], ("line", "line_last")
-    )
-    innermost = F.struct("line_start", (-F.col("line_end")).alias("shorter"), "method_id")
-    is_head = (F.col("callee_name") == F.col("method_name")) & (F.col("line") == F.col("line_start"))
-    return (
-        inside.groupBy("service_id", "file_path", "line", "callee_name")
-        .agg(F.max_by("method_id", innermost).alias("caller_id"), F.max(is_head).alias("is_head"))
-        .where(~F.col("is_head"))
-        .select("service_id", "file_path", "caller_id", "callee_name", "line")
-    )
+    keys = ["service_id", "file_path"]
+    span = F.struct("line_start", "line_end", "method_id", "name")
+    spans = methods.groupBy(*keys).agg(F.collect_list(span).alias("spans"))
+    return _by_file(ruled, keys, sites, "sites").join(spans, keys).mapInArrow(_sites_in_spans, _SITES)
 
 
 def parsed_methods_and_calls(

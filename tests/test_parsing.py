@@ -220,3 +220,14 @@ def test_bodies_are_matched_within_their_files(spark):
     assert sorted((m.name, m.line_start, m.line_end) for m in found.collect()) == [("A", 1, 2), ("A", 1, 2), ("B", 1, 4)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "Sort" not in plan
+
+
+def test_sites_meet_methods_file_by_file(spark):
+    text = "func A() {\n  B(1)\n  f := func() { C() }\n}\nfunc B() { A(); B() }\nD()\n"
+    files = definitions.with_parser(spark.createDataFrame([("s", "a.go", text), ("s", "a.go", text), (None, "a.go", text)], FILES))
+    spans = [("s", "a.go", "outer", 1, 4, "A"), ("s", "a.go", "inner", 3, 3, "f"), ("s", "a.go", "b", 5, 5, "B"), ("s", "z.go", "z", 1, 9, "z")]
+    methods = spark.createDataFrame(spans, "service_id string, file_path string, method_id string, line_start int, line_end int, name string")
+    found = definitions.script_calls(files, methods)
+    # The head's own name isn't a call, copies count once, a null key meets nothing.
+    assert sorted((s.caller_id, s.callee_name, s.line) for s in found.collect()) == [("b", "A", 5), ("inner", "C", 3), ("outer", "B", 2)]
+    assert "_bin" not in found._jdf.queryExecution().optimizedPlan().toString()
