@@ -93,7 +93,10 @@ def frequent_shingles(docs: DataFrame, scratch: Scratch, n: int) -> tuple[str, i
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            keys, counts = hc.summed(np.concatenate(held))
+            block = np.concatenate(held)
+            held.clear()
+            keys, counts = hc.summed(block)
+            del block
             return hc.batch_of_cuts(list(hc.cuts(keys, counts, _range_of(keys, ranges))))
 
         for batch in batches:
@@ -102,7 +105,7 @@ def frequent_shingles(docs: DataFrame, scratch: Scratch, n: int) -> tuple[str, i
                 size += len(held[-1])
                 if size >= BLOCK:
                     yield flush()
-                    held, size = [], 0
+                    size = 0
         if held:
             yield flush()
 
@@ -118,7 +121,7 @@ def frequent_shingles(docs: DataFrame, scratch: Scratch, n: int) -> tuple[str, i
         F.col("id").cast("int").alias("range"), F.lit(b"").alias("keys"), F.lit(b"").alias("counts"), F.lit(0).cast("long").alias("n")
     )
     cut = docs.select("text").mapInArrow(count, hc.CUT).unionByName(every)
-    scratch.settle("order-ranges", cut.groupBy("range").applyInArrow(merge, hc.RANGE_FILE))
+    cut.groupBy("range").applyInArrow(merge, hc.RANGE_FILE).write.format("noop").mode("overwrite").save()
     return folder, ranges
 
 
@@ -195,15 +198,14 @@ class Join:
         self.features = self.scratch.settle("features", found)
         first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
         nodes = self.features.where(F.col("size") > 0).groupBy("node").agg(
-            first.alias("best"), F.first("size").alias("size"), F.first("grp").alias("grp"), F.first("prefix").alias("prefix")
+            first.alias("best"), F.first("size").alias("size"), F.first("grp").alias("grp")
         )
-        self.nodes = self.scratch.settle("nodes", nodes.select("node", "best.doc_id", "best.text_hash", "size", "grp", "prefix"))
+        self.nodes = self.scratch.settle("nodes", nodes.select("node", "best.doc_id", "best.text_hash", "size", "grp"))
 
     def meetings(self) -> DataFrame:
         """(shingle, grp, size, at, leader, leader_size, leader_at) for shingles of two nodes or more."""
-        groups = self.nodes.groupBy("grp").agg(
-            F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.count("*").alias("members")
-        )
+        prefixes = self.features.where(F.col("size") > 0).groupBy("grp").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+        groups = prefixes.join(self.nodes.groupBy("grp").agg(F.count("*").alias("members")), "grp")
         tokens = groups.select("grp", "size", "members", F.posexplode("prefix").alias("at", "shingle"))
         tokens = tokens.select("shingle", "grp", F.col("size").cast("int").alias("size"), "members", "at")
         foremost = F.min(F.struct("at", (-F.col("members")).alias("few"), "grp", "size"))
@@ -219,14 +221,15 @@ class Join:
         few = F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted
         same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))
         texts = self.docs.join(few, same).select("node", "text")
-        sets = self.scratch.settle(f"{name}-sets", texts.mapInArrow(_whole_sets(self.n), "node binary, shingles array<long>").dropDuplicates(["node"]))
+        # Both sides of the check read one shuffle of the sets, so these are made once and not written as a table.
+        sets = texts.mapInArrow(_whole_sets(self.n), "node binary, shingles array<long>").dropDuplicates(["node"])
         left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
         right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
         common = F.size(F.array_intersect("x", "y"))
         linked = pairs.join(left, "a").join(right, "b").where(
             (100 + self.percent) * common >= self.percent * (F.size("x") + F.size("y"))
         )
-        return self.scratch.settle(f"{name}-links", linked.select("a", "b"))
+        return self.scratch.settle(f"{name}-links", linked.select("a", "b").hint("rebalance"))
 
     def links(self) -> DataFrame:
         """Verified (a, b) node pairs that connect every component of the whole join."""

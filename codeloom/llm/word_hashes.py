@@ -22,6 +22,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes of text handled at a time; a longer document is a piece of its own.
 PIECE_BYTES = 2_000_000
+#: Bytes hashed at a time within a piece, as that takes eight-byte arrays of a value per byte.
+HASH_BYTES = 250_000
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalizer that spreads every input bit over all output bits."""
@@ -37,7 +39,7 @@ def _place_factors(n: int) -> np.ndarray:
     """Odd factors of the first ``n`` places at least."""
     global _factors
     if len(_factors) < n:
-        places = np.arange(1, max(PIECE_BYTES, n) + 1, dtype=np.uint64)
+        places = np.arange(1, max(HASH_BYTES, n) + 1, dtype=np.uint64)
         _factors = mix(places * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
     return _factors
 
@@ -94,4 +96,11 @@ def hashed(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
     """(first row, end row, word hashes, first word of each row and the end) for pieces of a batch."""
     bounds, raw = text_buffers(column)
     for first, last in pieces(bounds):
-        yield first, last, *hash_words(bounds[first : last + 1], raw)
+        found, starts, n = [], [np.zeros(1, np.int64)], 0
+        own = bounds[first : last + 1]
+        for low, high in pieces(own, HASH_BYTES):
+            words, begins = hash_words(own[low : high + 1], raw)
+            found.append(words)
+            starts.append(begins[1:] + n)
+            n += len(words)
+        yield first, last, np.concatenate(found), np.concatenate(starts)

@@ -2,8 +2,11 @@
 
 import hashlib
 import math
+import os
 import random
 import re
+import tracemalloc
+import uuid
 import zlib
 from collections import Counter, defaultdict
 
@@ -128,6 +131,31 @@ def test_jaccard_join_of_families(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({r.component_id for r in got})
 
 
+def test_jaccard_join_makes_whole_sets_once_and_keeps_no_table_of_them(spark, tmp_path, monkeypatch):
+    rng = random.Random(11)
+    near = [" ".join(f"w{rng.randrange(5000)}" for _ in range(60)) for _ in range(40)]
+    texts = [f"{t} tail{k}" for t in near for k in range(3)]
+    made = jaccard_join._whole_sets
+
+    def noted(n):
+        run = made(n)
+
+        def wrapped(batches):
+            for batch in run(batches):
+                (tmp_path / uuid.uuid4().hex).write_text("\n".join(x.hex() for x in batch.column(0).to_pylist()))
+                yield batch
+
+        return wrapped
+
+    monkeypatch.setattr(jaccard_join, "_whole_sets", noted)
+    join = jaccard_join.Join(spark.createDataFrame(rows_of(*texts), SCHEMA).repartition(4))
+    met = join.links().selectExpr("explode(array(a, b)) AS n").distinct().count()
+    seen = Counter(x for f in tmp_path.iterdir() for x in f.read_text().split())
+    assert met == len(texts) == len(seen) and set(seen.values()) == {1}
+    tables = os.listdir(join.scratch.root.removeprefix("file://"))
+    assert not [t for t in tables if t.endswith("-sets") or t == "order-ranges"] and "prefix" not in join.nodes.columns
+
+
 def test_jaccard_kept_leaves_one_of_repeated_rows(spark, hard):
     kept = jaccard_join.Join(hard).kept(hard).collect()
     prose = [r for r in kept if r.text and r.text.startswith("the") or r.doc_id == 7]
@@ -372,6 +400,20 @@ def test_word_hashes_depend_on_the_word_alone():
     assert len(set(of.values())) == len(of)
 
 
+def test_word_hashes_take_little_memory_beside_a_piece(monkeypatch):
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(900)}" for _ in range(rng.randint(0, 900))) for _ in range(900)]
+    column = pa.array([*texts, None, "", "z" * 300_000, " "])
+    tracemalloc.start()
+    whole = list(word_hashes.hashed(column))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
+    monkeypatch.setattr(word_hashes, "HASH_BYTES", word_hashes.PIECE_BYTES)
+    for a, b in zip(whole, word_hashes.hashed(column), strict=True):
+        assert a[:2] == b[:2] and (a[2] == b[2]).all() and (a[3] == b[3]).all()
+
+
 def edits(a, b):
     """Edit distance with swaps of neighbours."""
     d = [[max(i, j) if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
